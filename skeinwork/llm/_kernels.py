@@ -162,7 +162,7 @@ def band_hashes(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """(sets, bands) of signed 64-bit keys; each holds its band's number."""
     out = np.empty((len(signatures), bands), dtype=U)
     for j in range(bands):
-        total = np.full(len(signatures), U(j + 1) * U(0x9E3779B97F4A7C15), dtype=U)
+        total = np.full(len(signatures), (j + 1) * 0x9E3779B97F4A7C15 % (1 << 64), dtype=U)
         for i in range(rows):
             total = mix(total ^ signatures[:, j * rows + i].astype(U))
         out[:, j] = total

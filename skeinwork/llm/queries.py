@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, piece_bpe, token_counts
+from . import near_dedup, packing, piece_bpe, secrets, substring_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scans": secrets.query,
     "op3_sentencepiece_codes": piece_bpe.query,
     "op4_token_counts": token_counts.query,
     "op6_best_fit_packing": packing.query,
+    "op7_substring_dedup": substring_dedup.query,
+    "op8_minhash_near_dedup": near_dedup.query,
 }
 ORACLE_SQL: dict[str, str] = {}
