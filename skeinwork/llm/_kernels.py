@@ -49,21 +49,23 @@ def powers(base: int, n: int) -> np.ndarray:
     return got[:n]
 
 
-def string_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets) of consecutive rows of about ``limit`` bytes; null is empty."""
-    column = pc.fill_null(column.cast(pa.large_string()), "")
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    n = len(column)
-    if not n:
-        return
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + n + 1]
-    data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)
-    first = 0
-    while first < n:
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1)
-        yield first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
-        first = last
+def string_slices(column: pa.Array, limit: int = SLICE_BYTES, rows: int = 1024) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets) of consecutive rows of about ``limit`` bytes; null is empty.
+
+    Only ``rows`` rows are copied at a time, so that a batch is not held twice.
+    """
+    for base in range(0, len(column), rows):
+        part = pc.fill_null(column.slice(base, rows).cast(pa.large_string()), "")
+        if isinstance(part, pa.ChunkedArray):
+            part = part.combine_chunks()
+        n = len(part)
+        offsets = np.frombuffer(part.buffers()[1], dtype=np.int64)[part.offset : part.offset + n + 1]
+        data = np.frombuffer(part.buffers()[2] or b"", dtype=np.uint8)
+        first = 0
+        while first < n:
+            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1)
+            yield base + first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
+            first = last
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -25,9 +25,20 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+BATCH_ROWS = 1000
+
+
+def tune(spark: SparkSession) -> None:
+    """Lower the rows of an Arrow batch to ``BATCH_ROWS``: whole texts make large batches, held on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back; the result has no lineage."""
     spark = df.sparkSession
+    tune(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "lz4").parquet(path)
     _written.append((spark, path))
@@ -57,4 +68,5 @@ def _clean() -> None:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._store import documents, store
+from ._store import documents, store, tune
 from .word_bpe import shared, tokenizer_path
 
 CLASSES = 128
@@ -208,6 +208,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
     like any other. An empty table gives an empty result. Other columns are ignored. Texts are read
     once; afterwards only the pieces' numbers move, with one shuffle by (partition, length).
     """
+    tune(df.sparkSession)
     spark = df.sparkSession
     pieces = store(token_pieces(df, id_col, text_col, tokenizer, end_id, capacity), "pieces")
     counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))

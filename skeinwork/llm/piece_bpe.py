@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import documents
+from ._store import documents, tune
 from ._tokens import SegmentTable, code_points, text_slices
 from .word_bpe import tokenizer_path
 
@@ -161,6 +161,7 @@ def piece_codes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
                 of_text.append(hashlib.sha256(bpe.decode(full).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    tune(df.sparkSession)
     narrow = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return narrow.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 

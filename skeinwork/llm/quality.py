@@ -15,15 +15,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ._fit import FIT_ROWS, held_out, labelled_sample, summed
 from ._kernels import span_hashes, string_slices, words
-from ._store import documents
+from ._store import documents, tune
 from ._tokens import sums
 
 FOLDS, HELD_OUT = 3, 1
 TOWARDS_POOLED, TOWARDS_DIAGONAL, FLOOR = 0.2, 0.05, 1e-2
 TEMPERATURE = 4.0
+_ROWS = 1024
 
 FEATURES = (
     "log_bytes", "log_words", "log_lines", "word_length", "word_length_spread", "longest_word", "letters", "capitals", "digits", "stops", "exclamations",
@@ -142,21 +144,27 @@ def quality_scores(docs: DataFrame, labels: DataFrame, fit_docs: DataFrame | Non
     both classes every score is 0.5. Null and empty texts are scored by their (zero) statistics. All
     rows and columns stay; repeated rows get equal scores. Texts are read in one narrow pass.
     """
+    tune(docs.sparkSession)
     source = fit_docs if fit_docs is not None else docs
     source = source.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     model = fit(labelled_sample(source, labels, "quality", FOLDS, HELD_OUT, fit_rows))
 
-    @F.pandas_udf("double")
-    def scored(text):
-        column = pa.array(text, pa.string(), from_pandas=True)
-        return type(text)(model.score(statistics(column)) if model else np.full(len(column), 0.5))
+    at = docs.columns.index("text")
 
-    return docs.withColumn("_score", scored(F.col("text").cast("string")))
+    def run(batches):
+        for batch in batches:
+            for first in range(0, len(batch), _ROWS):  # in small pieces: neither side holds a large batch twice
+                part = batch.slice(first, _ROWS)
+                score = model.score(statistics(part.column(at))) if model else np.full(len(part), 0.5)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], [*batch.schema.names, "_score"])
+
+    fields = [*docs.schema.fields, StructField("_score", DoubleType())]
+    return docs.mapInArrow(run, StructType(fields))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of ``docs``; see :func:`quality_scores`."""
-    scores = quality_scores(docs.select("doc_id", "text"), labels)
+    scores = quality_scores(docs.select("doc_id", F.col("text").cast("string").alias("text")), labels)
     return scores.select("doc_id", held_out("doc_id", FOLDS, HELD_OUT).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
 
 

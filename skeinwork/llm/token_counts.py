@@ -7,7 +7,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import documents
+from ._store import documents, tune
 from .word_bpe import shared, tokenizer_path
 
 
@@ -28,6 +28,7 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 [batch.column(0), pc.binary_length(text).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit, pa.bool_())], ["id", "n_bytes", "n_tokens", "over_limit"]
             )
 
+    tune(df.sparkSession)
     narrow = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return narrow.mapInArrow(run, "id long, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)
 
