@@ -13,7 +13,8 @@ def oriented(edges: DataFrame, direction: str = "OUT") -> DataFrame:
     direction = direction.upper()
     if direction not in DIRECTIONS:
         raise ValueError(f"unknown direction {direction!r}")
-    swapped = edges.withColumnsRenamed({"src": "dst", "dst": "src"}).select(*edges.columns)
+    other = {"src": "dst", "dst": "src"}
+    swapped = edges.select(*[F.col(other.get(c, c)).alias(c) for c in edges.columns])
     if direction == "OUT":
         return edges
     return swapped if direction == "IN" else edges.unionByName(swapped.where("src <> dst"))
