@@ -109,7 +109,7 @@ def compare_tiles(pairs: DataFrame, axes: np.ndarray, threshold: float) -> DataF
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                sides = [(np.frombuffer(r[f"ids_{k}"], dtype=np.int64), np.frombuffer(r[f"sizes_{k}"], dtype=np.int64), np.frombuffer(r[f"data_{k}"], dtype=np.float64)) for k in "ab"]
+                sides = [[np.frombuffer(b"".join(p[c] for p in r[f"parts_{k}"]), dtype=kind) for c, kind in (("ids", np.int64), ("sizes", np.int64), ("data", np.float64))] for k in "ab"]
                 (ia, na, xa), (ib, nb, xb) = sides
                 xa, xb, same = _unit(xa.reshape(len(ia), -1)), _unit(xb.reshape(len(ib), -1)), r["a"] == r["b"]
                 u, v = links_between(xa, xb, xa @ axes, xb @ axes, threshold, same)
@@ -151,8 +151,8 @@ def _one_dimension(classes: DataFrame, dim: int, threshold: float, tile: int) ->
             x = np.concatenate([_matrix(b.column(2)) for b in rows])
             first = np.concatenate([b.column(3).to_numpy() for b in rows])
             columns = [np.concatenate([b.column(k).to_numpy() for b in rows]) for k in (0, 1)]
-            values = [part * (1 << 20) + number, float(first.min()), float(first.max()), columns[0].tobytes(), columns[1].tobytes(), x.tobytes()]
-            return pa.RecordBatch.from_arrays([pa.array([v]) for v in values], ["tile", "low", "high", "ids", "sizes", "data"])
+            values = [part * (1 << 20) + number, len(first), float(first.min()), float(first.max()), columns[0].tobytes(), columns[1].tobytes(), x.tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([v]) for v in values], ["tile", "n", "low", "high", "ids", "sizes", "data"])
 
         for batch in batches:
             for at in range(0, len(batch), 256):
@@ -165,22 +165,23 @@ def _one_dimension(classes: DataFrame, dim: int, threshold: float, tile: int) ->
         if held:
             yield packed(held, count)
 
-    blobs = store(dealt.mapInArrow(pack, "tile long, low double, high double, ids binary, sizes binary, data binary"), "tiles")
+    blobs = store(dealt.mapInArrow(pack, "tile long, n long, low double, high double, ids binary, sizes binary, data binary"), "tiles")
     reach = math.sqrt(2 - 2 * threshold) + _SLACK  # unit vectors of such a cosine are no further apart in any direction
-    names = blobs.select("tile", "low", "high")
-    order = [r.tile for r in names.select("tile").orderBy("low", "tile").collect()]  # one number for every ``tile`` vectors
-    numbered = spark.createDataFrame([(t, i) for i, t in enumerate(order)], "tile long, number int")
-    numbered = names.join(numbered, "tile")
-    left = numbered.select(F.col("number").alias("i"), F.col("tile").alias("a"), F.col("high").alias("high_a"))
-    right = numbered.select(F.col("number").alias("j"), F.col("tile").alias("b"), F.col("low").alias("low_b"))
-    wanted = left.withColumn("j", F.explode(F.sequence(F.col("i"), F.lit(max(len(order) - 1, 0))))).join(right, "j").where(F.col("low_b") - F.col("high_a") <= reach).select("a", "b")
-
-    def side(k: str) -> DataFrame:
-        return blobs.select(F.col("tile").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("ids", "sizes", "data")))
-
-    per_task = 4
-    spread = max(1, len(order) * (len(order) + 1) // 2 // per_task)
-    pairs = wanted.join(side("a"), "a").join(side("b").hint("shuffle_merge"), "b")
+    numbers, spans, held = [], [], tile  # one row for every ``tile`` vectors; partitions that hold fewer are joined
+    for r in blobs.select("tile", "n", "low", "high").orderBy("low", "tile").collect():
+        if held >= tile:
+            spans.append([r.low, r.high])
+            held = 0
+        held += r.n
+        spans[-1][1] = max(spans[-1][1], r.high)
+        numbers.append((r.tile, len(spans) - 1))
+    lows = np.array([low for low, _ in spans])
+    reached = [(i, max(i, int(np.searchsorted(lows, high + reach, side="right")) - 1)) for i, (_, high) in enumerate(spans)]
+    grouped = blobs.join(spark.createDataFrame(numbers, "tile long, number int"), "tile").groupBy("number").agg(F.sort_array(F.collect_list(F.struct("tile", "ids", "sizes", "data"))).alias("parts"))
+    grouped = store(grouped, "tiles")
+    wanted = spark.createDataFrame(reached, "a int, last int").select("a", F.explode(F.sequence("a", "last")).alias("b"))
+    pairs = wanted.join(grouped.select(F.col("number").alias("a"), F.col("parts").alias("parts_a")), "a").join(grouped.select(F.col("number").alias("b"), F.col("parts").alias("parts_b")), "b")
+    spread = max(1, sum(last - i + 1 for i, last in reached) // 4)
     return compare_tiles(pairs.repartition(spread, "a", "b"), axes, threshold)
 
 
