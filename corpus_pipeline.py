@@ -17,6 +17,8 @@ from skeinwork.llm._store import shared_dir
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents of a lower quality score go; below the classifier's own 0.5, to keep clean ones near the border.
 LEAST_QUALITY = 0.3
+#: Documents whose shingle sets have this Jaccard similarity, in percent, are near copies; op8's own 85 binds only its query.
+NEAR_PERCENT = 80
 
 
 def _with_length(docs: DataFrame) -> DataFrame:
@@ -32,7 +34,7 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: of each group of near duplicates the least document stays; repeated rows of it, once."""
     docs = docs.select(*COLUMNS)
-    groups = near_dedup.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
+    groups = near_dedup.near_duplicates(docs, percent=NEAR_PERCENT).where("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
     kept = docs.join(groups, F.col("doc_id") == F.col("_id")).drop("_id")
     by_id = kept.groupBy("doc_id").agg(F.max(F.struct(*[c for c in COLUMNS if c != "doc_id"])).alias("row")).select("doc_id", "row.*").select(*COLUMNS)
     return by_id.union(docs.where("doc_id is null"))

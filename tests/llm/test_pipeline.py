@@ -25,3 +25,13 @@ def test_stages(spark, tmp_path):
     assert kept[2].count() == kept[1].count() and kept[2].where("n_chars <> length(text)").count() == 0
     assert secrets.secrets(kept[3]).agg(F.sum(F.col("n_assign") + F.col("n_access") + F.col("n_hex"))).first()[0] == 0
     assert {r.doc_id for r in kept[4].select("doc_id").distinct().collect()} == {r.doc_id for r in kept[3].collect()}
+
+
+def test_near_copies_between_80_and_85_percent_go(spark):
+    words = [f"w{i}" for i in range(104)]
+    texts = {1: words, 2: [*words[:94], *[f"x{i}" for i in range(10)]], 3: [*words[:89], *[f"y{i}" for i in range(15)]]}
+    sets = {k: {tuple(t[i : i + 5]) for i in range(len(t) - 4)} for k, t in texts.items()}
+    near, far = (len(sets[1] & sets[k]) / len(sets[1] | sets[k]) for k in (2, 3))
+    assert 0.8 <= near < 0.85 and far < 0.8
+    docs = spark.createDataFrame([(k, " ".join(t), "en", "web", 0) for k, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in pipeline.drop_near_duplicates(spark, docs, DATA).collect()} == {1, 3}
