@@ -22,24 +22,26 @@ KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey
 
 VISITS = "SELECT event_id AS edge_id, user_id AS src, nxt AS dst FROM (SELECT event_id, user_id, lead(user_id) OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts, event_id) AS nxt FROM events) w WHERE nxt IS NOT NULL"
 SUPPLIED = "SELECT a.l_suppkey * 1000000 + b.l_suppkey AS edge_id, a.l_suppkey AS src, b.l_suppkey AS dst, CAST(count(*) AS DOUBLE) AS w FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey WHERE a.l_orderkey % 16 = 1 GROUP BY a.l_suppkey, b.l_suppkey"
+#: Suppliers that share an order, of all orders; SUPPLIED holds one order in 16 and stays for the SQL registered on it.
+CO_SUPPLIED = "SELECT a.l_suppkey * 1000000 + b.l_suppkey AS edge_id, a.l_suppkey AS src, b.l_suppkey AS dst, CAST(count(*) AS DOUBLE) AS w FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY a.l_suppkey, b.l_suppkey"
 CONTAINS = "SELECT l_orderkey * 10 + l_linenumber AS edge_id, l_orderkey AS src, l_partkey AS dst, l_quantity AS quantity, l_extendedprice AS price FROM lineitem"
 PLACED = "SELECT o_orderkey AS edge_id, o_custkey AS src, o_orderkey AS dst FROM orders"
 
 
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
-    """The test tables as a catalog with four edge types; nothing is read yet."""
+    """The test tables as a catalog with five edge types; nothing is read yet."""
     e = Engine(spark)
     for name in (*KEYS, "lineitem", "labels", "conversations"):
         e.catalog.register(name, table(spark, sf_dir, name), KEYS.get(name))
     e.catalog.register("users", spark.sql("SELECT DISTINCT user_id FROM events"), "user_id")
-    for name, sql, source, target in (("visits", VISITS, "users", "users"), ("supplied", SUPPLIED, "supplier", "supplier"), ("contains", CONTAINS, "orders", "part"), ("placed", PLACED, "customer", "orders")):
+    for name, sql, source, target in (("visits", VISITS, "users", "users"), ("supplied", SUPPLIED, "supplier", "supplier"), ("co_supplied", CO_SUPPLIED, "supplier", "supplier"), ("contains", CONTAINS, "orders", "part"), ("placed", PLACED, "customer", "orders")):
         e.catalog.register_edges(name, spark.sql(sql), source, target)
     return e
 
 
 def edges(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One edge type's table, from the tables it is made of."""
-    source, sql = {"visits": ("events", VISITS), "supplied": ("lineitem", SUPPLIED), "contains": ("lineitem", CONTAINS), "placed": ("orders", PLACED)}[name]
+    source, sql = {"visits": ("events", VISITS), "supplied": ("lineitem", SUPPLIED), "co_supplied": ("lineitem", CO_SUPPLIED), "contains": ("lineitem", CONTAINS), "placed": ("orders", PLACED)}[name]
     table(spark, sf_dir, source).createOrReplaceTempView(source)
     return spark.sql(sql)
 
@@ -240,7 +242,7 @@ _UNDIRECTED = f"WITH e AS (SELECT DISTINCT src, dst FROM ({VISITS}) v WHERE src
 dialect("triangle_count", "SELECT * FROM triangle_count('visits')", _UNDIRECTED + "SELECT n.id AS node_id, CAST(coalesce(t, 0) AS BIGINT) AS triangle_count FROM n LEFT JOIN t ON t.id = n.id")
 dialect("clustering_coefficient", "SELECT node_id, round(local_coefficient, 6) AS c, triangles, degree FROM clustering_coefficient('visits')", _UNDIRECTED + "SELECT n.id AS node_id, round(CASE WHEN coalesce(k, 0) > 1 THEN 2.0 * coalesce(t, 0) / (k * (k - 1)) ELSE 0 END, 6) AS c, CAST(coalesce(t, 0) AS BIGINT) AS triangles, coalesce(k, 0) AS degree FROM n LEFT JOIN t ON t.id = n.id LEFT JOIN d ON d.id = n.id")
 dialect("betweenness", "SELECT node_id, round(centrality, 6) AS centrality FROM betweenness('visits')", None)
-dialect("eigenvector", "SELECT node_id, round(score, 4) AS score FROM eigenvector('supplied')", None)
+dialect("eigenvector", "SELECT node_id, round(score, 4) AS score FROM eigenvector('co_supplied')", None)
 dialect("community_detect", "SELECT * FROM community_detect('visits')", None)
 
 # ------------------------------------------------------------------ vectors and text
