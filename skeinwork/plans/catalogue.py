@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -212,6 +213,7 @@ def _shortest(spark: SparkSession, sf_dir: str) -> DataFrame:
 dialect("match_two_hops", "MATCH (c:customer WHERE c.c_mktsegment = 'BUILDING')-[p:placed]->(o:orders)-[x:contains WHERE quantity > 40]->(t:part) WHERE o.o_totalprice > 100000 RETURN c.c_custkey, o.o_orderkey, t.p_partkey, x.quantity AS quantity, o.o_totalprice * 2 AS twice", "SELECT c_custkey, o_orderkey, p_partkey, l_quantity AS quantity, o_totalprice * 2 AS twice FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE c_mktsegment = 'BUILDING' AND l_quantity > 40 AND o_totalprice > 100000")
 dialect("match_incoming", "MATCH (t:part)<-[x:contains]-(o:orders) WHERE t.p_partkey < 20 RETURN t.p_partkey, o.o_orderkey", "SELECT l_partkey AS p_partkey, l_orderkey AS o_orderkey FROM lineitem WHERE l_partkey < 20")
 dialect("match_repeated_variable", "MATCH (a:users)-[r:visits]->(b:users)-[s:visits]->(a) WHERE a.user_id < 10 RETURN a.user_id AS a, b.user_id AS b", f"WITH v AS ({VISITS}) SELECT x.src AS a, x.dst AS b FROM v x JOIN v y ON x.dst = y.src AND y.dst = x.src WHERE x.src < 10")
+dialect("match_repeated_variable_all", "MATCH (a:users)-[r:visits]->(b:users)-[s:visits]->(a) RETURN a.user_id AS a, b.user_id AS b", f"WITH v AS ({VISITS}) SELECT x.src AS a, x.dst AS b FROM v x JOIN v y ON x.dst = y.src AND y.dst = x.src")
 dialect("match_in_subquery", "SELECT o_orderkey FROM orders WHERE o_orderkey IN (MATCH (o:orders)-[x:contains]->(t:part) WHERE t.p_size = 7 RETURN o.o_orderkey)", "SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size = 7)")
 dialect("match_correlated_exists", "SELECT c.c_custkey FROM customer c WHERE EXISTS (MATCH (a:customer)-[p:placed]->(o:orders) WHERE a.c_custkey = c.c_custkey AND o.o_totalprice > 300000 RETURN o.o_orderkey)", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 dialect("match_variable_length", "MATCH (a:supplier WHERE s_suppkey < 4)-[r:supplied WHERE w > 1]->{1,2}(b:supplier) RETURN a.s_suppkey AS a, b.s_suppkey AS b", f"WITH v AS (SELECT * FROM ({SUPPLIED}) s WHERE w > 1) SELECT src AS a, dst AS b FROM v WHERE src < 4 UNION ALL SELECT x.src, y.dst FROM v x JOIN v y ON y.src = x.dst AND y.dst <> x.src WHERE x.src < 4")
@@ -225,6 +227,26 @@ def _weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("start", "node", "total_weight")
 
 
+@query("match_variable_length_all", f"WITH v AS (SELECT * FROM ({CO_SUPPLIED}) s WHERE w > 1) SELECT src AS a, dst AS b FROM v UNION ALL SELECT x.src, y.dst FROM v x JOIN v y ON y.src = x.dst AND y.dst <> x.src")
+def _variable_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """match_variable_length from every supplier over all orders; hops are bounded, so the number of paths is not."""
+    suppliers, e = table(spark, sf_dir, "supplier"), edges(spark, sf_dir, "co_supplied")
+    hop = match.Edge("r", e, "OUT", (1, 2), "w > 1")
+    starts = suppliers.select(F.col("s_suppkey").alias("start"))
+    return match.paths(hop, None, starts, max_paths=sys.maxsize).select(F.col("start").alias("a"), F.col("node").alias("b"))
+
+
+_STEP = "SELECT s, node, min(total) AS total FROM (SELECT * FROM {0} UNION ALL SELECT {0}.s, v.dst, {0}.total + v.w FROM {0} JOIN v ON v.src = {0}.node) t GROUP BY s, node"
+
+
+@query("match_any_shortest_weighted_all", f"WITH v AS ({CO_SUPPLIED}), h1 AS (SELECT src AS s, dst AS node, w AS total FROM v), h2 AS ({_STEP.format('h1')}), h3 AS ({_STEP.format('h2')}) SELECT s AS start, node, total AS total_weight FROM h3")
+def _weighted_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """match_any_shortest_weighted from every supplier over all orders."""
+    e = edges(spark, sf_dir, "co_supplied")
+    best = match.shortest(match.Edge("r", e, "OUT", (1, 3)), e.select(F.col("src").alias("start")).distinct(), "ANY", weight="w")
+    return best.select("start", "node", "total_weight")
+
+
 def _pagerank_sql(rounds: int) -> str:
     parts = [f"WITH v AS ({VISITS}), n AS (SELECT src AS id FROM v UNION SELECT dst FROM v), c AS (SELECT count(*) AS n FROM n), d AS (SELECT src, count(*) AS k FROM v GROUP BY src), p0 AS (SELECT id, 1.0 / (SELECT n FROM c) AS s FROM n)"]
     for i in range(rounds):

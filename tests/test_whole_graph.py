@@ -33,3 +33,25 @@ def test_eigenvector_scores_the_whole_graph(spark):
     want = np.abs(np.linalg.eigh(a)[1][:, -1])
     got = dict(catalogue.QUERIES["eigenvector"](spark, DATA).collect())
     assert [got[i] for i in ids] == pytest.approx((want / want.max()).tolist(), abs=1e-3)
+
+
+@pytest.mark.parametrize("name", ["match_repeated_variable_all", "match_variable_length_all", "match_any_shortest_weighted_all"])
+def test_matches_from_every_node_equal_their_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("events", "lineitem"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    want = con.sql(catalogue.ORACLE_SQL[name])
+    got = catalogue.QUERIES[name](spark, DATA)
+    assert got.columns == want.columns
+    assert Counter(map(tuple, got.collect())) == Counter(want.fetchall())
+    first = set(con.sql(f"SELECT DISTINCT {want.columns[0]} FROM ({catalogue.ORACLE_SQL[name]}) t").fetchall())
+    assert len(first) > 2
+
+
+def test_all_paths_from_all_suppliers_equal_brute_force(spark):
+    to = {}
+    for (u, v), n in shared_orders().items():
+        if n > 1:
+            to.setdefault(u, []).append(v)
+    want = Counter((a, b) for a in to for b in to[a]) + Counter((a, c) for a in to for b in to[a] for c in to.get(b, []) if c != a)
+    assert Counter(map(tuple, catalogue.QUERIES["match_variable_length_all"](spark, DATA).collect())) == want
