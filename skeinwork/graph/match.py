@@ -99,6 +99,22 @@ def paths(hop: Edge, target: Node | None, starts: DataFrame, max_paths: int = MA
     return found if found is not None else frontier.where("false")
 
 
+def _undominated(pool: DataFrame, keep: int | None, least: int) -> DataFrame:
+    """``pool`` without paths that no result can need, however it goes on.
+
+    A path is needless if ``keep`` better ones (None: a strictly shorter one) with the same ends hold no node that
+    it lacks: each may go on wherever it may. Below the ``least`` hops only paths of as many hops compare.
+    """
+    pool = pool.distinct().withColumn("hops", F.least(F.size("edges"), F.lit(least)))
+    order = lambda x: F.struct(F.col(f"{x}.total_weight"), F.size(f"{x}.edges"), F.col(f"{x}.edges"))
+    shorter = F.col("q.total_weight") < F.col("p.total_weight") if keep is None else order("q") < order("p")
+    same = [F.col(f"p.{c}") == F.col(f"q.{c}") for c in ("start", "node", "hops")]
+    within = F.size(F.array_except("q.nodes", "p.nodes")) == 0
+    pairs = pool.alias("p").join(pool.alias("q"), [*same, shorter, within])
+    needless = pairs.groupBy("p.start", "p.node", "p.edges").agg(F.count("*").alias("n")).where(F.col("n") >= (keep or 1))
+    return pool.join(needless, ["start", "node", "edges"], "left_anti").select("start", "node", "nodes", "edges", "total_weight")
+
+
 def shortest(edges: Edge, starts: DataFrame, selector: str = "ANY", k: int = 1, weight: str | None = None, targets: DataFrame | None = None) -> DataFrame:
     """(start, node, nodes, edges, total_weight): shortest paths from each start to every node.
 
@@ -124,22 +140,23 @@ def shortest(edges: Edge, starts: DataFrame, selector: str = "ANY", k: int = 1,
     for _ in range(most):
         longer = frontier.join(step, frontier["node"] == step["src"]).where(~F.array_contains("nodes", F.col("dst")))
         longer = longer.select("start", F.col("dst").alias("node"), F.concat("nodes", F.array("dst")).alias("nodes"), F.concat("edges", F.array("edge_id")).alias("edges"), (F.col("total_weight") + F.col("w")).alias("total_weight"))
-        # a path that is dominated can still be wanted below the least number of hops: keep the best for each length there
-        groups = ["start", "node"] + (["hops"] if least > 1 else [])
-        pool = found.unionByName(longer).withColumn("hops", F.least(F.size("edges"), F.lit(least)))
+        groups = ["start", "node"]
+        pool = found.unionByName(longer)
         ordered = Window.partitionBy(*groups).orderBy("total_weight", F.size("edges"), "edges")
-        if selector == "ALL":
+        if least > 1 or (selector == "K" and k > 1):
+            best = _undominated(pool, keep, least)
+        elif selector == "ALL":
             best = pool.withColumn("__best", F.min("total_weight").over(Window.partitionBy(*groups))).where("total_weight = __best").drop("__best")
         else:
             best = pool.withColumn("__rank", F.row_number().over(ordered)).where(F.col("__rank") <= keep).drop("__rank")
-        best = staged(best.drop("hops").distinct(), "shortest")
+        best = staged(best.distinct(), "shortest")
         frontier = best.join(found.select("start", "node", "edges"), ["start", "node", "edges"], "left_anti").select(*found.columns)
         frontier = staged(frontier, "shortest")
         found = best
         if frontier.isEmpty():
             break
     found = found.where(F.size("edges") >= least)
-    if least > 1:
+    if least > 1 or (selector == "K" and k > 1):
         ordered = Window.partitionBy("start", "node").orderBy("total_weight", F.size("edges"), "edges")
         rank = F.rank().over(Window.partitionBy("start", "node").orderBy("total_weight")) if selector == "ALL" else F.row_number().over(ordered)
         found = found.withColumn("__rank", rank).where(F.col("__rank") <= (keep or 1)).drop("__rank")

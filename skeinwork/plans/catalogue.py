@@ -214,6 +214,7 @@ dialect("match_two_hops", "MATCH (c:customer WHERE c.c_mktsegment = 'BUILDING')-
 dialect("match_incoming", "MATCH (t:part)<-[x:contains]-(o:orders) WHERE t.p_partkey < 20 RETURN t.p_partkey, o.o_orderkey", "SELECT l_partkey AS p_partkey, l_orderkey AS o_orderkey FROM lineitem WHERE l_partkey < 20")
 dialect("match_repeated_variable", "MATCH (a:users)-[r:visits]->(b:users)-[s:visits]->(a) WHERE a.user_id < 10 RETURN a.user_id AS a, b.user_id AS b", f"WITH v AS ({VISITS}) SELECT x.src AS a, x.dst AS b FROM v x JOIN v y ON x.dst = y.src AND y.dst = x.src WHERE x.src < 10")
 dialect("match_repeated_variable_all", "MATCH (a:users)-[r:visits]->(b:users)-[s:visits]->(a) RETURN a.user_id AS a, b.user_id AS b", f"WITH v AS ({VISITS}) SELECT x.src AS a, x.dst AS b FROM v x JOIN v y ON x.dst = y.src AND y.dst = x.src")
+dialect("match_shortest_k", "MATCH p = SHORTEST 2 (a:users)-[r:visits]->{1,2}(b:users) RETURN a.user_id AS a, b.user_id AS b, path_length(p) AS n", f"WITH v AS ({VISITS}), q AS (SELECT src AS a, dst AS b, 1 AS n FROM v WHERE src <> dst UNION ALL SELECT x.src, y.dst, 2 FROM v x JOIN v y ON x.dst = y.src WHERE x.src <> x.dst AND y.src <> y.dst AND x.src <> y.dst) SELECT a, b, CAST(n AS BIGINT) AS n FROM (SELECT a, b, n, row_number() OVER (PARTITION BY a, b ORDER BY n) AS k FROM q) t WHERE k <= 2")
 dialect("match_in_subquery", "SELECT o_orderkey FROM orders WHERE o_orderkey IN (MATCH (o:orders)-[x:contains]->(t:part) WHERE t.p_size = 7 RETURN o.o_orderkey)", "SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size = 7)")
 dialect("match_correlated_exists", "SELECT c.c_custkey FROM customer c WHERE EXISTS (MATCH (a:customer)-[p:placed]->(o:orders) WHERE a.c_custkey = c.c_custkey AND o.o_totalprice > 300000 RETURN o.o_orderkey)", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 dialect("match_variable_length", "MATCH (a:supplier WHERE s_suppkey < 4)-[r:supplied WHERE w > 1]->{1,2}(b:supplier) RETURN a.s_suppkey AS a, b.s_suppkey AS b", f"WITH v AS (SELECT * FROM ({SUPPLIED}) s WHERE w > 1) SELECT src AS a, dst AS b FROM v WHERE src < 4 UNION ALL SELECT x.src, y.dst FROM v x JOIN v y ON y.src = x.dst AND y.dst <> x.src WHERE x.src < 4")

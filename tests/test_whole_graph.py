@@ -35,7 +35,7 @@ def test_eigenvector_scores_the_whole_graph(spark):
     assert [got[i] for i in ids] == pytest.approx((want / want.max()).tolist(), abs=1e-3)
 
 
-@pytest.mark.parametrize("name", ["match_repeated_variable_all", "match_variable_length_all", "match_any_shortest_weighted_all"])
+@pytest.mark.parametrize("name", ["match_repeated_variable_all", "match_variable_length_all", "match_any_shortest_weighted_all", "match_shortest_k"])
 def test_matches_from_every_node_equal_their_sql(spark, name):
     con = duckdb.connect()
     for t in ("events", "lineitem"):
