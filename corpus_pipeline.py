@@ -15,8 +15,8 @@ from skeinwork.llm import near_dedup, packing, quality, secrets, substring_dedup
 from skeinwork.llm._store import shared_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Documents of a lower quality score go; below the classifier's own 0.5, to keep clean ones near the border.
-LEAST_QUALITY = 0.3
+#: Documents of a lower quality score go: those that the classifier itself rejects.
+LEAST_QUALITY = 0.5
 #: Documents whose shingle sets have this Jaccard similarity, in percent, are near copies; op8's own 85 binds only its query.
 NEAR_PERCENT = 80
 

@@ -35,3 +35,10 @@ def test_near_copies_between_80_and_85_percent_go(spark):
     assert 0.8 <= near < 0.85 and far < 0.8
     docs = spark.createDataFrame([(k, " ".join(t), "en", "web", 0) for k, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.doc_id for r in pipeline.drop_near_duplicates(spark, docs, DATA).collect()} == {1, 3}
+
+
+def test_documents_that_the_classifier_rejects_go(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "text", "en", "web", 4) for k in range(3)], "doc_id long, text string, lang string, source string, n_chars long")
+    scores = F.element_at(F.array(F.lit(0.4), F.lit(0.5), F.lit(0.9)), (F.col("doc_id") + 1).cast("int"))
+    monkeypatch.setattr(quality, "quality_scores", lambda df, labels: df.withColumn("_score", scores))
+    assert {r.doc_id for r in pipeline.reject_low_quality(spark, docs, DATA).collect()} == {1, 2}
