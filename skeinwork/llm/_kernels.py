@@ -1,8 +1,10 @@
 """Vectorised text kernels over Arrow string buffers: words, 5-word shingles and their hashes.
 
 All work is done on the UTF-8 bytes with numpy, for a whole slice of documents at once. A word is a
-maximal run of bytes other than space and 0x09-0x0D; A-Z count as lower case. A word's hash is a
-polynomial over its bytes modulo 2**64 (from one running sum), finished with a bit mixer.
+maximal run of bytes other than space and 0x09-0x0D; A-Z count as lower case. A word is read eight
+bytes at a time; each eight bytes, mixed under a key of their place, are added up and mixed again.
+Words of up to eight bytes and equal length never share a hash; others do with a chance of 2**-64,
+whatever their pattern (a polynomial modulo 2**64 would give all Thue-Morse words of one length one hash).
 """
 
 from __future__ import annotations
@@ -16,14 +18,12 @@ import pyarrow.compute as pc
 U = np.uint64
 SLICE_BYTES = 1 << 20
 SHINGLE = 5
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _STEPS = np.array([0xD6E8FEB86659FD93, 0xA5CB9243F2CE4F1B, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=U)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IN_WORD = np.ones(256, dtype=bool)
 _IN_WORD[[9, 10, 11, 12, 13, 32]] = False
-_powers: dict[int, np.ndarray] = {}
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,18 +35,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    got = _powers.get(base)
-    if got is None or len(got) < n:
-        out = np.ones(max(n, SLICE_BYTES + 1), dtype=U)
-        filled, step = 1, base % (1 << 64)
-        while filled < len(out):
-            more = min(filled, len(out) - filled)
-            out[filled : filled + more] = out[:more] * U(step)
-            filled += more
-            step = step * step % (1 << 64)
-        _powers[base] = got = out
-    return got[:n]
+_PLACES = mix(np.arange(1, 4097, dtype=U) * U(0x9E3779B97F4A7C15))
 
 
 def string_slices(column: pa.Array, limit: int = SLICE_BYTES, rows: int = 1024) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -92,10 +81,33 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """64-bit hashes of byte spans, A-Z as lower case."""
     if not len(starts):
         return np.zeros(0, dtype=U)
-    total = np.zeros(len(data) + 1, dtype=U)
-    np.cumsum((_LOWER[data].astype(U) + U(1)) * powers(_BASE, len(data)), out=total[1:])
-    out = (total[ends] - total[starts]) * powers(_INVERSE, len(data) + 1)[starts]
-    return mix(out + (ends - starts).astype(U) * U(0xFF51AFD7ED558CCD))
+    low = np.zeros(len(data) + 8, dtype=np.uint8)
+    np.take(_LOWER, data, out=low[: len(data)])
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=low, strides=(1,))  # the eight bytes from every place on
+    n = ends - starts
+    parts = np.maximum((n + 7) >> 3, 1)
+    total = mix((eight[starts] & _MASKS[np.minimum(n, 8)]) ^ _PLACES[0])
+    more = np.flatnonzero(parts > 1)
+    if len(more):
+        count = parts[more] - 1
+        first = np.cumsum(count) - count
+        place = np.arange(int(count.sum())) - np.repeat(first, count) + 1
+        at = np.repeat(starts[more], count) + 8 * place
+        left = np.minimum(np.repeat(n[more], count) - 8 * place, 8)
+        keys = _PLACES[place & 4095] + (place >> 12).astype(U) * U(0xA0761D6478BD642F)
+        total[more] += np.add.reduceat(mix((eight[at] & _MASKS[left]) ^ keys), first)
+    return mix(total + n.astype(U) * U(0xFF51AFD7ED558CCD))
+
+
+def window_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of every run of ``n`` consecutive values, by doubling; run i starts at value i."""
+    size, x = 1, hashes
+    while 2 * size <= n and len(x) > size:
+        x = mix(x[: len(x) - size] + mix(x[size:] ^ _PLACES[size]))
+        size *= 2
+    if len(hashes) < n:
+        return np.zeros(0, dtype=U)
+    return mix(x[: len(x) - (n - size)] + mix(x[n - size :] ^ _PLACES[n])) if n > size else x
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,16 +135,46 @@ def shingles(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(out_owner), np.concatenate(out)
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes, sorted within each document, and the documents' offsets in them."""
-    starts, ends, first = words(data, offsets)
-    owner, hashed = shingles(span_hashes(data, starts, ends), first)
-    order = np.lexsort((hashed, owner))
+def grouped_order(owner: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """An order by owner (ascending already or not) that puts equal values of one owner side by side."""
+    if not len(owner):
+        return np.zeros(0, dtype=np.int64)
+    bits = int(owner.max()).bit_length()
+    if bits > 30:
+        return np.lexsort((values, owner))
+    keys = (owner.astype(U) << U(64 - bits) if bits else np.zeros(len(owner), dtype=U)) | (values >> U(bits))
+    order = np.argsort(keys)
+    same = keys[order[1:]] == keys[order[:-1]]
+    if (values[order[1:]][same] != values[order[:-1]][same]).any():  # unlike values with equal leading bits
+        return np.lexsort((values, owner))
+    return order
+
+
+def distinct_sets(owner: np.ndarray, hashed: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of each of ``n`` owners, and the owners' offsets in them."""
+    order = grouped_order(owner, hashed)
     owner, hashed = owner[order], hashed[order]
     new = np.ones(len(hashed), dtype=bool)
     new[1:] = (owner[1:] != owner[:-1]) | (hashed[1:] != hashed[:-1])
     owner, hashed = owner[new], hashed[new]
-    return hashed, np.searchsorted(owner, np.arange(len(offsets)))
+    return hashed, np.searchsorted(owner, np.arange(n + 1))
+
+
+def set_digests(hashed: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two signed 64-bit digests of each set, whatever its order (0 for an empty one)."""
+    out = np.zeros((2, len(first) - 1), dtype=U)
+    some = np.flatnonzero(np.diff(first))
+    if len(some):
+        out[0, some] = np.add.reduceat(mix(hashed), first[some])
+        out[1, some] = np.bitwise_xor.reduceat(mix(hashed ^ U(0x2545F4914F6CDD1D)), first[some])
+    return out[0].view(np.int64), out[1].view(np.int64)
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes, sorted within each document, and the documents' offsets in them."""
+    starts, ends, first = words(data, offsets)
+    owner, hashed = shingles(span_hashes(data, starts, ends), first)
+    return distinct_sets(owner, hashed, len(offsets) - 1)
 
 
 def circulant_table(size_bits: int, k: int, seed: int = 17) -> np.ndarray:

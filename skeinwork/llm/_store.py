@@ -1,25 +1,29 @@
 """Where intermediate results go: parquet files in the shared checkpoint folder.
 
 ``spark.checkpoint.dir`` names a folder that the driver and all executors share. A table written
-there cuts the lineage and survives the loss of any executor. In a session that doesn't name one
-(tests on one machine) a temporary folder is made and set.
+there cuts the lineage and survives the loss of any executor. A session on one machine that doesn't
+name one (tests) gets a temporary folder; on a cluster that is an error.
 """
 
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names, or a fresh local one where none is named."""
+    """The shared folder that the session names, or a fresh local one in a local session that names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="skein_ckpt_")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -45,11 +49,42 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`store` that nothing reads any more."""
-    files = df.inputFiles()
-    if files:
-        _delete(df.sparkSession, files[0].rsplit("/", 1)[0])
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of tables made by :func:`store` that nothing reads any more.
+
+    The driver's garbage collector is asked to run, since only then does Spark delete the shuffle files
+    of the plans that have been carried out.
+    """
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            _delete(df.sparkSession, files[0].rsplit("/", 1)[0])
+    if tables:
+        gc.collect()
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that starts with ``name`` and that ``df`` doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+HOT_KEYS = 4096
+
+
+def join_hot(rows: DataFrame, table: DataFrame, on: list[str], times: str, n_rows: int) -> DataFrame:
+    """``rows`` joined with ``table``, which has each key of ``on`` once and, as ``times``, its number of rows.
+
+    Keys of more than ``n_rows`` / ``HOT_KEYS`` rows, of which there are fewer than ``HOT_KEYS``, are broadcast, so
+    that no task gets all the rows of such a key; the others are joined by a shuffle.
+    """
+    limit = max(n_rows // HOT_KEYS, 64)
+    hot, rest = table.where(F.col(times) > limit), table.where(F.col(times) <= limit)
+    cold_rows = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return rows.join(F.broadcast(hot), on).unionByName(cold_rows.join(rest, on))
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -5,7 +5,9 @@ signature: the first maps a shingle to a position of a fixed table, the second i
 by one place for each coordinate; coordinate k is the least value at (position + k). Bands of ``ROWS``
 coordinates are the candidates' keys.
 
-Documents with equal shingle sets form one class; only its least document is compared. In each band's
+Documents with equal shingle sets form one class (equal by two 64-bit digests and the set's size); only one
+text of it is compared. A class has a number of its own, so rows that repeat an id with other texts are
+compared too; classes that share an id are linked by it. In each band's
 bucket all members are first compared to one centre, the member that shares most buckets, not to each
 other. Buckets that hold more than one component after that are compared in full, in blocks of
 bounded size inside tasks; pairs are never emitted. A link is confirmed on the full sets of both texts.
@@ -15,7 +17,7 @@ The chance that no band holds a pair of similarity 0.85 is (1 - 0.85**6)**32, be
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._components import components
-from ._kernels import U, band_hashes, circulant_signatures, circulant_table, mix, shingle_sets, string_slices
-from ._store import documents, store
+from ._kernels import band_hashes, circulant_signatures, circulant_table, set_digests, shingle_sets, string_slices
+from ._store import documents, drop, store
 
 BANDS, ROWS = 32, 6
 TABLE_BITS = 20
@@ -39,37 +41,35 @@ def _table(bits: int, k: int) -> np.ndarray:
     return _tables[bits, k]
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+def band_keys(hashed: np.ndarray, first: np.ndarray, bands: int, rows: int) -> pa.Array:
+    """The bands' keys of each set; null for an empty one."""
+    n = np.diff(first)
+    keys = band_hashes(circulant_signatures(hashed, first, _table(TABLE_BITS, bands * rows)), bands, rows)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * bands, pa.int32()), pa.array(keys.ravel()))
+    return pc.if_else(pa.array(n > 0), lists, pa.scalar(None, lists.type))
 
 
-def _per_set(values: np.ndarray, first: np.ndarray, how: np.ufunc) -> np.ndarray:
-    out = np.zeros(len(first) - 1, dtype=U)
-    some = np.flatnonzero(np.diff(first))
-    if len(some):
-        out[some] = how.reduceat(values, first[some])
-    return out
+def source(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, version, text); the version, a hash of the text, tells rows of one id apart."""
+    text = F.col(text_col).cast("string")
+    return df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("version"), text.alias("text"))
 
 
-def signatures(df: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """id, n_shingles, two hashes of the whole set, and the bands' keys (null for an empty set)."""
+def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """id, version, n_shingles, two digests of the whole set, and the bands' keys (null for an empty set)."""
 
     def run(batches):
-        table = _table(TABLE_BITS, bands * rows)
         for batch in batches:
-            for at, data, offsets in string_slices(batch.column(1)):
+            for at, data, offsets in string_slices(batch.column(2)):
                 hashed, first = shingle_sets(data, offsets)
                 n = np.diff(first)
-                keys = band_hashes(circulant_signatures(hashed, first, table), bands, rows)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * bands, pa.int32()), pa.array(keys.ravel()))
-                lists = pc.if_else(pa.array(n > 0), lists, pa.scalar(None, lists.type))
+                a, b = set_digests(hashed, first)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(n)), pa.array(n, pa.int64()), _signed(_per_set(mix(hashed), first, np.add)), _signed(_per_set(mix(hashed ^ U(0x2545F4914F6CDD1D)), first, np.bitwise_xor)), lists],
-                    ["id", "n_shingles", "set_a", "set_b", "keys"],
+                    [batch.column(0).slice(at, len(n)), batch.column(1).slice(at, len(n)), pa.array(n, pa.int64()), pa.array(a), pa.array(b), band_keys(hashed, first, bands, rows)],
+                    ["id", "version", "n_shingles", "set_a", "set_b", "keys"],
                 )
 
-    narrow = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(run, "id long, n_shingles long, set_a long, set_b long, keys array<long>")
+    return docs.mapInArrow(run, "id long, version long, n_shingles long, set_a long, set_b long, keys array<long>")
 
 
 def _sets(column: pa.Array) -> list[np.ndarray]:
@@ -171,38 +171,64 @@ def verify_blocks(members: DataFrame, texts: DataFrame, percent: int, block: int
     return joined.repartition("group").sortWithinPartitions("group", "id").mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per row of ``df``: ``id_col``, n_shingles, component_id and kept.
+def link_classes(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], percent: int, more_links: DataFrame | None = None) -> DataFrame:
+    """(id, component) of the classes (id, keys) that link with others, by candidates of equal keys.
 
-    Documents link if 100 * intersection >= ``percent`` * union of their sets of 5-word shingles.
-    Null and empty texts have an empty set and link with nothing; so does a row with a null id, whose
-    component is null and which is kept. Rows that repeat an id share its component: each is kept if the
-    id is the component's least. An empty table gives an empty result; other columns are ignored.
+    ``texts_of`` gives (id, text) for a table of ids; ``more_links`` (u, v) holds without a comparison.
     """
-    signed = store(signatures(df, id_col, text_col, bands, rows), "signatures")
-    full = signed.where("keys is not null and id is not null")
-    classes = store(full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("id").alias("rep"), F.first("keys").alias("keys")), "classes")
-    keyed = classes.select(F.col("rep").alias("id"), F.explode("keys").alias("key"))
+    keyed = classes.select("id", F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     crowded = store(keyed.join(sizes, "key"), "crowded")
     weight = crowded.groupBy("id").agg(F.sum(F.log2("n")).alias("weight"))
     centres = crowded.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("centre"))
     stars = crowded.join(centres, "key").where("id <> centre").select(F.least("id", "centre").alias("u"), F.greatest("id", "centre").alias("v")).distinct()
-    wanted = crowded.select("id").distinct()
-    source = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    texts = store(source.join(wanted, "id").groupBy("id").agg(F.max("text").alias("text")), "texts")
+    texts = store(texts_of(crowded.select("id").distinct()), "texts")
     links = store(verify_stars(stars, texts, percent), "stars")
-    labels = components(links)
+    known = links if more_links is None else links.union(more_links)
+    labels = components(known)
     members = crowded.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     open_keys = members.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).where("a <> b and n > 2").select("key")
     more = store(verify_blocks(members.join(open_keys, "key"), texts, percent), "blocks")
+    drop(crowded, texts)
     if more.limit(1).count():
-        labels = components(links.union(more))
-    placed = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    out = signed.drop("keys").join(placed, ["set_a", "set_b", "n_shingles"], "left")
-    alone = F.col("n_shingles") == 0
-    component = F.when(alone | F.col("id").isNull(), F.col("id")).otherwise(F.col("component"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+        old, labels = labels, components(known.union(more))
+        drop(old)
+    drop(links, more)
+    return labels
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row per row of ``df``: ``id_col``, n_shingles, component_id and kept.
+
+    Documents link if 100 * intersection >= ``percent`` * union of their sets of 5-word shingles.
+    Null and empty texts have an empty set and link with nothing; so does a row with a null id, whose
+    component is null and which is kept. Rows that repeat an id, with one text or several, share its
+    component, and each text's links count for the id: each row is kept if the id is the component's
+    least. Ties don't arise: a component's least id is one. Very long texts are compared whole. An empty
+    table gives an empty result; other columns are ignored, whatever their names.
+    """
+    docs = source(df, id_col, text_col)
+    signed = store(signatures(docs, bands, rows), "signatures")
+    full = signed.where("keys is not null and id is not null")
+    by_set = ["set_a", "set_b", "n_shingles"]
+    classes = full.groupBy(*by_set).agg(F.min(F.struct("id", "version")).alias("rep"), F.first("keys").alias("keys"))
+    classes = store(classes.select(F.monotonically_increasing_id().alias("class"), *by_set, "rep", "keys"), "classes")
+    placed = store(signed.drop("keys").join(classes.select(*by_set, "class"), by_set, "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.col("class")).alias("class")), "placed")
+    drop(signed)
+    several = placed.where("class is not null").groupBy("id").agg(F.min("class").alias("u"), F.max("class").alias("w")).where("u <> w").select("id", "u")
+    same_id = store(placed.where("class is not null").join(several, "id").where("class <> u").select("u", F.col("class").alias("v")).distinct(), "same_id")
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        reps = classes.join(wanted.withColumnRenamed("id", "class"), "class").select("class", "rep.id", "rep.version")
+        return docs.join(reps, ["id", "version"]).groupBy("id", "version").agg(F.first("class").alias("class"), F.first("text").alias("text")).select(F.col("class").alias("id"), "text")
+
+    labels = link_classes(classes.select(F.col("class").alias("id"), "keys"), texts_of, percent, same_id)
+    least = classes.join(labels.withColumnRenamed("id", "class"), "class", "left").select("class", F.coalesce("component", "class").alias("component"), "rep.id")
+    heads = least.groupBy("component").agg(F.min("id").alias("component_id"))
+    found = store(least.select("class", "component").join(heads, "component").select("class", "component_id"), "found")
+    drop(classes, labels, same_id)
+    component = F.coalesce("component_id", "id")
+    return placed.join(found, "class", "left").select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._store import documents, tune
-from ._tokens import SegmentTable, code_points, text_slices
+from ._tokens import SegmentTable, code_points, sums, text_slices
 from .word_bpe import tokenizer_path
 
 _MARK, _REST, _LONG = 1, 128, 48
@@ -122,13 +122,15 @@ class PieceBpe:
             start[1:-1] = ~self.meet[kinds[:-1], kinds[1:]]
             start[first] = True
             starts = np.flatnonzero(start[:-1])
-            rows = self.table.rows(codes, starts, np.r_[starts[1:], len(codes)][: len(starts)], text)
+            rows, strange = self.table.rows(codes, starts, np.r_[starts[1:], len(codes)][: len(starts)], text)
             ids = self.table.ids(rows)
-            at = np.r_[0, np.cumsum(self.table.lengths(rows))][np.searchsorted(starts, first)]
-            sure = self.library.encode(group[0], num_threads=1) == ids[at[0] : at[1]].tolist()
+            cuts = np.searchsorted(starts, first)
+            at = np.r_[0, np.cumsum(self.table.lengths(rows))][cuts]
+            whole = sums(strange, cuts) > 0  # a segment shares its hash with another one: the library's ids
+            sure = whole[0] or self.library.encode(group[0], num_threads=1) == ids[at[0] : at[1]].tolist()
             self.differing += not sure
             for i, x in enumerate(group):
-                yield ids[at[i] : at[i + 1]] if sure else np.array(self.library.encode(x, num_threads=1), dtype=np.uint32)
+                yield ids[at[i] : at[i + 1]] if sure and not whole[i] else np.array(self.library.encode(x, num_threads=1), dtype=np.uint32)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids as the library's decode gives it: pieces joined, the first mark dropped."""

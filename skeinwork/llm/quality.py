@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ._fit import FIT_ROWS, held_out, labelled_sample, summed
-from ._kernels import span_hashes, string_slices, words
+from ._kernels import grouped_order, span_hashes, string_slices, words
 from ._store import documents, tune
 from ._tokens import sums
 
@@ -45,7 +45,7 @@ def _logit(share: np.ndarray) -> np.ndarray:
 
 def _repeated(owner: np.ndarray, hashed: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """For each document the number of distinct values and the count of its commonest one."""
-    order = np.lexsort((hashed, owner))
+    order = grouped_order(owner, hashed)
     owner, hashed = owner[order], hashed[order]
     new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (hashed[1:] != hashed[:-1])]) if len(owner) else np.zeros(0, dtype=np.int64)
     distinct, most = np.bincount(owner[new], minlength=n), np.zeros(n)

@@ -5,8 +5,8 @@ the lowest rank among its adjacent pairs and merges all its occurrences of that
 at once; pre-tokens without a known pair retire. The symbols that survive are the tokens.
 
 Texts of letters and signs whose normal form, case and class don't depend on a Unicode version are
-cut by tables over code points; any other text, and texts that hold a special token's string, go whole
-to the tokenizers library, so that the result is always the library's own.
+cut by tables over code points; any other text, texts that hold a special token's string, and texts
+with a pre-token that shares its hash with another one go whole to the tokenizers library, so that the result is always the library's own.
 """
 
 from __future__ import annotations
@@ -157,8 +157,10 @@ class WordBpe:
             codes = self.lower[code_points("".join(group))]
             starts, ends, odd = self.cut(codes, first)
             odd |= np.array(["<|" in x and any(y in x for y in self.special) for x in group])
-            rows = self.table.rows(codes, starts, ends, codes.astype("<u4").tobytes().decode("utf-32-le"))
-            yield group, rows, np.searchsorted(starts, first), odd
+            rows, strange = self.table.rows(codes, starts, ends, codes.astype("<u4").tobytes().decode("utf-32-le"))
+            at = np.searchsorted(starts, first)
+            odd |= sums(strange, at) > 0
+            yield group, rows, at, odd
 
     def count(self, texts: list[str | None]) -> np.ndarray:
         """Numbers of tokens."""
