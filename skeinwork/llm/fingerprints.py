@@ -2,15 +2,16 @@
 
 A text's paragraphs (lines, long ones cut into runs of ``RUN`` words) become 64-bit digests. A sketch
 has three rows of cells; a digest enters one cell of each row and changes its count, the exclusive or
-of its digests and of their check values. Two versions' sketches subtract cell by cell, common digests
-vanish, and peeling recovers the differing ones: a cell with count 1 or -1 whose check fits holds one
-digest, which is taken out of its other cells, and so on. If cells are left over, both versions are
-sketched again at the next size, as several sketches by the digests' leading bits; beyond the last
-size the digests themselves are compared.
+of its digests and of their check values. Sketches are grouped sums over (document, cell). Two versions'
+sketches subtract cell by cell, common digests vanish, and peeling recovers the differing ones: a cell
+with count 1 or -1 whose check fits holds one digest, which is taken out of its other cells, and so on. If
+cells are left over, both versions are sketched again, larger: in parts by the digests' bits, so many that
+a part has about ``LOAD`` digests, with twice the parts and other places at each further attempt. After
+``ATTEMPTS`` of them the digests themselves are compared.
 
 The next document in descending order of ids is found without a global sort: ids are dealt into
 ranges by quantiles, a window orders each range, and the ranges' first documents, of which there are
-at most ``RANGES``, are joined to the range before.
+at most ``RANGES``, are joined to the range before. The number of ranges follows the number of rows.
 """
 
 from __future__ import annotations
@@ -18,14 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._store import documents
+from ._store import documents, store
 
 RUN = 16
-MASK = 15  # of a digest's place in a row: no row is wider than MASK + 1
 WIDTH = 8  # cells in each of the three rows of the sketch that is returned
-LARGER = ((4, 16), (16, 16), (64, 16))  # parts, by a digest's leading bits, and their rows' cells at each further attempt
-RANGES = 1024
-_CELL = "struct<n:int,k:bigint,h:bigint>"
+LARGE, LOAD, ATTEMPTS = 32, 12, 3  # cells in a row of a part, digests that it should hold, larger attempts
+RANGES, ROWS_A_RANGE = 1 << 16, 20_000
+ROUNDS = 24
 _UNIT = r"\S++(?:[^\S\n]++\S++){0,%d}+"
 
 
@@ -34,57 +34,64 @@ def digests(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_UNIT % (RUN - 1)), F.lit(0)), lambda p: F.xxhash64(p))))
 
 
-def _let(value: str, name: str, body: str) -> str:
-    """SQL that evaluates ``value`` once and uses it in ``body`` by ``name``."""
-    return f"transform(array({value}), {name} -> {body})[0]"
+def _place(key: str, j: int, width: int, salt: int) -> str:
+    """SQL for a digest's cell in row ``j``."""
+    bits = f"xxhash64({key}, {salt})" if salt else key
+    return f"cast(shiftrightunsigned({bits}, {16 * j}) & {width - 1} as int)"
 
 
-def _entry(key: str, count: str = "1") -> str:
-    """SQL for a digest with its check value, its place in each row, and the sign it counts with."""
-    places = ", ".join(f"'p{j}', cast(shiftrightunsigned({key}, {20 * j}) & {MASK} as int)" for j in range(3))
-    return f"named_struct('k', {key}, 'h', xxhash64({key}, 7), 'n', {count}, {places})"
+def cells(base: DataFrame, width: int, salt: int = 0, parts: str = "1") -> DataFrame:
+    """(row, part, cell) with counts, keys and checks of the sketches of a, e and x: n0, k0, h0, n1, .. h2.
 
-
-def _add(sign: str) -> str:
-    return f"(s, d) -> named_struct('n', s.n {sign} d.n, 'k', s.k ^ d.k, 'h', s.h ^ d.h)"
-
-
-def _row(entries: str, j: int, width: int, cells: str, sign: str) -> str:
-    return f"transform({cells}, (x, c) -> aggregate(filter({entries}, d -> d.p{j} & {width - 1} = c), x, {_add(sign)}))"
-
-
-def sketch(entries: str, width: int) -> str:
-    """SQL for the cells of a sketch of entries: three rows of ``width``, a power of two."""
-    empty = f"array_repeat(named_struct('n', 0, 'k', 0L, 'h', 0L), {width})"
-    return "concat(" + ", ".join(_row(entries, j, width, empty, "+") for j in range(3)) + ")"
-
-
-def difference(a: str, b: str) -> str:
-    return f"zip_with({a}, {b}, (x, y) -> named_struct('n', x.n - y.n, 'k', x.k ^ y.k, 'h', x.h ^ y.h))"
-
-
-def peel(cells: str, width: int, rounds: int = 24) -> str:
-    """SQL for the number of differing digests recovered from subtracted cells; NULL if some can't be."""
-    pure = f"transform(array_distinct(transform(filter(t.cells, x -> abs(x.n) = 1 and x.h = xxhash64(x.k, 7)), x -> named_struct('k', x.k, 'n', x.n))), x -> {_entry('x.k', 'x.n')})"
-    taken = "concat(" + ", ".join(_row("pure", j, width, f"slice(t.cells, {j * width + 1}, {width})", "-") for j in range(3)) + ")"
-    step = _let(pure, "pure", f"named_struct('cells', if(size(pure) = 0, t.cells, {taken}), 'found', t.found + size(pure), 'going', size(pure) > 0)")
-    return f"""aggregate(sequence(1, {rounds}), named_struct('cells', {cells}, 'found', 0, 'going', true), (t, r) -> if(t.going, {step}, t),
-      t -> if(forall(t.cells, x -> x.n = 0 and x.k = 0L and x.h = 0L), t.found, null))"""
-
-
-def attempt(a: str, b: str, parts: int, width: int) -> str:
-    """SQL for the number of differing digests, by a sketch in ``parts``; NULL if a part doesn't peel."""
-
-    def part(entries: str) -> str:
-        return f"filter({entries}, d -> shiftrightunsigned(d.k, 58) % {parts} = g)"
-
-    peeled = peel(difference(sketch("ka", width), sketch("kb", width)), width)
-    return f"aggregate(transform(sequence(0, {parts - 1}), g -> {_let(part(a), 'ka', _let(part(b), 'kb', peeled))}), 0, (u, x) -> u + x)"
+    ``base`` has row and the digests a, e and x; it should be dealt by row, then nothing moves here.
+    """
+    sides = ", ".join(f"transform({v}, k -> named_struct('s', {s}, 'k', k))" for s, v in enumerate("aex"))
+    each = base.select("row", F.expr(f"cast({parts} as int)").alias("parts"), F.inline(F.expr(f"concat({sides})")))
+    placed = ", ".join(f"{_place('k', j, width, salt)} + {j * width}" for j in range(3))
+    part = f"cast(shiftrightunsigned(xxhash64(k, {100 + salt}), 3) & (parts - 1) as int)"
+    entries = each.select("row", F.expr(part).alias("part"), "s", "k", F.expr("xxhash64(k, 7)").alias("h"), F.explode(F.expr(f"array({placed})")).alias("cell"))
+    sums = []
+    for s in range(3):
+        here = F.col("s") == s
+        sums += [F.sum(here.cast("int")).cast("int").alias(f"n{s}"), F.bit_xor(F.when(here, F.col("k")).otherwise(F.lit(0).cast("long"))).alias(f"k{s}"), F.bit_xor(F.when(here, F.col("h")).otherwise(F.lit(0).cast("long"))).alias(f"h{s}")]
+    return entries.groupBy("row", "part", "cell").agg(*sums)
+
+
+def difference(s: int) -> Column:
+    """A cell of the sketch of a less that of e (1) or x (2); null if nothing is left in it."""
+    return F.expr(f"if(n0 = n{s} and k0 = k{s} and h0 = h{s}, null, named_struct('c', cell, 'n', n0 - n{s}, 'k', k0 ^ k{s}, 'h', h0 ^ h{s}))")
+
+
+def peel(left: str, width: int, salt: int = 0) -> str:
+    """SQL for the number of differing digests recovered from subtracted cells (c, n, k, h); NULL if some can't be."""
+    places = ", ".join(f"'p{j}', {_place('x.k', j, width, salt)} + {j * width}" for j in range(3))
+    pure = f"array_distinct(transform(filter(t.cells, x -> abs(x.n) = 1 and x.h = xxhash64(x.k, 7)), x -> named_struct('k', x.k, 'n', x.n, 'h', x.h, {places})))"
+    taken = f"transform(t.cells, x -> aggregate(pure, x, (y, d) -> if(x.c = d.p0 or x.c = d.p1 or x.c = d.p2, named_struct('c', y.c, 'n', y.n - d.n, 'k', y.k ^ d.k, 'h', y.h ^ d.h), y)))"
+    step = f"transform(array({pure}), pure -> named_struct('cells', if(size(pure) = 0, t.cells, filter({taken}, y -> y.n <> 0 or y.k <> 0L or y.h <> 0L)), 'found', t.found + size(pure), 'going', size(pure) > 0))[0]"
+    return f"""aggregate(sequence(1, {ROUNDS}), named_struct('cells', {left}, 'found', 0, 'going', size({left}) > 0), (t, r) -> if(t.going, {step}, t),
+      t -> if(size(t.cells) = 0, t.found, null))"""
+
+
+def _text(s: int) -> Column:
+    """A cell of a sketch as text: its number, count and both exclusive ors; null if it is empty."""
+    return F.when(F.expr(f"n{s} > 0 or k{s} <> 0L or h{s} <> 0L"), F.concat_ws("-", F.format_string("%02x", "cell"), F.hex(f"n{s}"), F.lower(F.hex(f"k{s}")), F.substring(F.lower(F.hex(f"h{s}")), 1, 8)))
+
+
+def first_sketches(base: DataFrame) -> DataFrame:
+    """(row, fingerprint, edited_fingerprint, got1, got2): the sketches of ``WIDTH`` and what their differences give."""
+    found = cells(base, WIDTH).groupBy("row").agg(
+        *[F.array_join(F.array_sort(F.collect_list(_text(s))), ".").alias(name) for s, name in ((0, "fingerprint"), (1, "edited_fingerprint"))],
+        *[F.collect_list(difference(s)).alias(f"d{s}") for s in (1, 2)],
+    )
+    return found.select("row", "fingerprint", "edited_fingerprint", *[F.expr(peel(f"d{s}", WIDTH)).alias(f"got{s}") for s in (1, 2)])
 
 
-def fingerprint(cells: str) -> Column:
-    """Cells as text: the count and both exclusive ors, in hexadecimal digits."""
-    return F.expr(f"concat_ws('.', transform({cells}, x -> if(x.n = 0 and x.k = 0L, '', concat(hex(x.n), '-', lower(hex(x.k)), '-', substring(lower(hex(x.h)), 1, 8)))))")
+def larger_sketches(base: DataFrame, attempt: int) -> DataFrame:
+    """(row, got1, got2) of further attempts, in parts."""
+    parts = f"shiftleft(1, cast(ceil(log2(greatest(1.0D, (size(a) + greatest(size(e), size(x))) / {LOAD}.0D))) as int) + {attempt - 1})"
+    found = cells(base, LARGE, attempt, parts).groupBy("row", "part").agg(*[F.collect_list(difference(s)).alias(f"d{s}") for s in (1, 2)])
+    peeled = found.select("row", *[F.expr(peel(f"d{s}", LARGE, attempt)).alias(f"got{s}") for s in (1, 2)])
+    return peeled.groupBy("row").agg(*[F.when(F.count(f"got{s}") == F.count("*"), F.sum(f"got{s}")).cast("int").alias(f"got{s}") for s in (1, 2)])
 
 
 def _likeness(a: str, b: str, differing: str) -> Column:
@@ -99,10 +106,21 @@ def with_next(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    ranges = min(RANGES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = min(RANGES, max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // ROWS_A_RANGE))
     bounds = sorted({int(x) for x in docs.where("id is not null").approxQuantile("id", [i / ranges for i in range(1, ranges)], 0.1 / ranges)})
-    lower = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.expr("cast(array() as array<bigint>)")
-    docs = docs.withColumn("range", F.size(F.filter(lower, lambda b: b <= F.coalesce(F.col("id"), F.lit(-(1 << 63))))))
+    coarse = max(1, int(len(bounds) ** 0.5))
+    groups = [bounds[i : i + coarse] for i in range(0, len(bounds), coarse)]  # a search in two steps, each over about the root of all bounds
+
+    def below(values: Column, at: Column) -> Column:
+        return F.size(F.filter(values, lambda b: b <= at))
+
+    if bounds:
+        at = F.coalesce(F.col("id"), F.lit(-(1 << 63)))
+        group = below(F.lit([g[0] for g in groups]).cast("array<bigint>"), at)
+        place = F.transform(F.array(group), lambda g: F.when(g > 0, (g - 1) * coarse + below(F.get(F.lit([g + [g[-1]] * (coarse - len(g)) for g in groups]).cast("array<array<bigint>>"), g - 1), at)).otherwise(0))
+        docs = docs.withColumn("range", F.get(place, F.lit(0)))
+    else:
+        docs = docs.withColumn("range", F.lit(0))
     order = [F.col("id").desc_nulls_last(), F.col("text").desc()]
     tops = docs.groupBy("range").agg(F.max("id").alias("id"))  # one row a range: at most RANGES
     heads = docs.drop("range").join(F.broadcast(tops), "id").groupBy("range").agg(F.max("text").alias("head"))
@@ -116,29 +134,40 @@ def with_next(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next per row.
+    """``id_col``, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next and peeled per row.
 
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many of the
-    next document in descending order of ids. A null text is empty; two empty texts are alike (1).
-    Texts of equal lines have equal fingerprints. A single document is its own next one. Other columns
-    are ignored; an empty table gives an empty result.
+    next document in descending order of ids; rows that repeat an id follow one another by text, descending,
+    and null ids come last. A null text is empty; two texts without words are alike (1) and their
+    fingerprint is empty. Texts of equal paragraphs have equal fingerprints. A single document is its own next one.
+    Very long texts are taken whole, in more parts. peeled says whether all differences came from sketches.
+    Other columns are ignored, whatever their names; an empty table gives an empty result.
     """
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next_text"), F.lit(1), half))
     rows = with_next(df, id_col, text_col).withColumn("edited", edited)
-    rows = rows.select("id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("e"), digests(F.col("next_text")).alias("x"))
-    rows = rows.withColumn("entries", F.expr(f"transform(array(a, e, x), v -> transform(v, k -> {_entry('k')}))"))
-    rows = rows.withColumn("small", F.expr(f"transform(entries, v -> {sketch('v', WIDTH)})"))
-    first = peel(difference("small[0]", "small[o]"), WIDTH)
-    larger = ", ".join(attempt("entries[0]", "entries[o]", *size) for size in LARGER)
-    got = F.expr(f"transform(array(1, 2), o -> coalesce({first}, {larger}))")
-    second = rows.select("*", fingerprint("small[0]").alias("fingerprint"), fingerprint("small[1]").alias("edited_fingerprint"), got.alias("got"))
-    exact = "coalesce(got[{i}], size(array_except(a, {v})) + size(array_except({v}, a)))"
-    return second.select(
-        F.col("id").alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        _likeness("a", "e", exact.format(i=0, v="e")).alias("near_edited"), _likeness("a", "x", exact.format(i=1, v="x")).alias("near_next"),
-        F.expr("got[0] is not null and got[1] is not null").alias("peeled"),
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("e"), digests(F.col("next_text")).alias("x"))
+    base = store(rows, "digests")
+    some = base.where("size(a) + size(e) + size(x) > 0").select("row", "a", "e", "x")
+    first = store(first_sketches(some.repartition("row")), "sketches")
+    tries = [first.select("row", "got1", "got2")]
+    for attempt in range(1, ATTEMPTS + 1):
+        failed = tries[-1].where("got1 is null or got2 is null").select("row")
+        if failed.isEmpty():
+            break
+        tries.append(store(larger_sketches(some.join(failed, "row").repartition("row"), attempt), "sketches"))
+    got = base.join(first, "row", "left")
+    for k, other in enumerate(tries[1:]):
+        got = got.join(other.withColumnsRenamed({"row": "row", "got1": f"got1_{k}", "got2": f"got2_{k}"}), "row", "left")
+    for s in (1, 2):
+        got = got.withColumn(f"found{s}", F.coalesce(f"got{s}", *[f"got{s}_{k}" for k in range(len(tries) - 1)], F.when(F.expr("size(a) + size(e) + size(x) = 0"), 0)))
+    exact = "coalesce(found{i}, size(array_except(a, {v})) + size(array_except({v}, a)))"
+    out = got.select(
+        F.col("id").alias(id_col), "n_chars", "edited_sha256", F.coalesce("fingerprint", F.lit("")).alias("fingerprint"), F.coalesce("edited_fingerprint", F.lit("")).alias("edited_fingerprint"),
+        _likeness("a", "e", exact.format(i=1, v="e")).alias("near_edited"), _likeness("a", "x", exact.format(i=2, v="x")).alias("near_next"),
+        F.expr("found1 is not null and found2 is not null").alias("peeled"),
     )
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,11 +3,13 @@
 The histogram of piece lengths (at most ``capacity`` rows) is all that the driver sees. Its lengths
 form at most ``CLASSES`` size classes. A configuration says how many pieces of each class share one
 sequence. The covering program over all configurations is solved by multiplicative weights: each round
-prices the classes by how little of their demand is covered, and an unbounded knapsack by dynamic
-programming over the capacity finds the dearest configuration. Rounding takes whole copies, and what is
-left is added best-fit, longest first, into their gaps and new sequences. A copy that the actual
-lengths would leave with a gap is not taken. Best-fit alone is computed
-too, and the plan with fewer sequences is used.
+prices the classes by how little of their demand is covered, starting from their volume, and a knapsack by
+dynamic programming over the capacity finds the dearest configuration. Rounding takes whole copies of the
+configurations, of the actual lengths in their classes. Those are a little shorter than their class's
+greatest one, so a knapsack over single lengths, with the length as its price, fills the room, in place of as
+few of the copy's smallest pieces as makes it full; a copy that can't be made full isn't taken. What the
+copies leave is covered by further copies, each the longest piece that is left and the knapsack's filling of
+the rest. No other heuristic takes part.
 
 A plan is a bounded list of patterns, each standing for any number of like sequences; a piece finds its
 sequence from its rank among the pieces of its length. Ranks come from per-partition counters and one
@@ -29,125 +31,127 @@ from ._store import documents, store, tune
 from .word_bpe import shared, tokenizer_path
 
 CLASSES = 128
-ROUNDS = 120
-STEP = 0.02
-SLACK = 1 / 1024
-
-
-def price(sizes: np.ndarray, weights: np.ndarray, capacity: int) -> np.ndarray:
-    """Counts of each size in the configuration of greatest weight: an unbounded knapsack."""
-    dense = np.full(capacity + 1, -1.0)
-    dense[sizes] = weights
-    best, took = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
-    least = int(sizes.min())
-    for c in range(least, capacity + 1):
-        worth = dense[least : c + 1] + best[c - least :: -1] if c > least else dense[least : c + 1] + best[:1]
-        k = int(worth.argmax())
-        best[c], took[c] = worth[k], k + least
-        if best[c - 1] > best[c]:
-            best[c], took[c] = best[c - 1], 0
-    counts, c = np.zeros(capacity + 1, dtype=np.int64), capacity
-    while c >= least:
-        if took[c]:
-            counts[took[c]] += 1
-            c -= int(took[c])
-        else:
-            c -= 1
-    return counts[sizes]
+ROUNDS = 400
+STEP = 0.05
+
+
+def price(sizes: np.ndarray, weights: np.ndarray, capacity: int, most: np.ndarray | None = None) -> np.ndarray:
+    """Counts of each size, at most ``most`` of it, in the configuration of greatest weight: a knapsack."""
+    best, took = np.zeros(capacity + 1), []
+    for i, (size, weight) in enumerate(zip(sizes.tolist(), weights.tolist(), strict=True)):
+        left, k = capacity // size if most is None else min(capacity // size, int(most[i])), 1
+        while left > 0:  # any number up to ``left`` is a sum of 1, 2, 4, .. and a rest
+            k = min(k, left)
+            other = best[: capacity + 1 - k * size] + k * weight
+            better = other > best[k * size :]
+            took.append((i, k, k * size, better))
+            best[k * size :][better] = other[better]
+            left, k = left - k, 2 * k
+    counts, c = np.zeros(len(sizes), dtype=np.int64), capacity
+    for i, k, length, better in reversed(took):
+        if c >= length and better[c - length]:
+            counts[i] += k
+            c -= length
+    return counts
 
 
 def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[float, np.ndarray]]:
     """(copies, counts by size) of a fractional cover, by multiplicative weights."""
-    log_weight, cover = np.zeros(len(sizes)), np.zeros(len(sizes))
+    cover = np.zeros(len(sizes))
     found: dict[bytes, list] = {}
     for _ in range(rounds):
-        weights = np.exp(log_weight - log_weight.max()) / demand
-        counts = price(sizes, weights, capacity)
+        counts = price(sizes, sizes * np.exp(-(cover - cover.min()) / STEP / 4), capacity, demand)
         used = counts > 0
         copies = STEP * (demand[used] / counts[used]).min()
-        copies = max(copies, STEP * demand.sum() / rounds / counts.sum())
         found.setdefault(counts.tobytes(), [0.0, counts])[0] += copies
-        cover += copies * counts
-        log_weight -= copies * counts / demand / STEP * 0.5
-    scale = np.median((demand / np.maximum(cover, 1e-9))[cover > 0])
+        cover = cover + copies * counts / demand
+        if cover.min() >= 1:
+            break
+    scale = 1 / max(np.average(cover, weights=sizes * demand), 1e-9)  # the volume is covered once
     return sorted(((x * scale, counts) for x, counts in found.values()), key=lambda p: -p[0])
 
 
-class _Bins:
-    """Groups of like sequences: how many, what they hold, and the room left in each."""
-
-    def __init__(self, capacity: int) -> None:
-        self.capacity, self.groups = capacity, defaultdict(list)
-        self.some = np.zeros(capacity + 1, dtype=bool)
-
-    def add(self, n: int, held: dict[int, int], room: int) -> None:
-        if n:
-            self.groups[room].append((n, held))
-            self.some[room] = True
-
-    def best_fit(self, length: int, n: int) -> None:
-        """Place ``n`` pieces of one length, each where it leaves least room."""
-        for room in (np.flatnonzero(self.some[length:]) + length).tolist():
-            groups = self.groups.pop(room, [])
-            self.some[room] = False
-            each = room // length
-            while groups and n:
-                have, held = groups.pop()
-                full = min(have, n // each)
-                self.add(full, held | {length: held.get(length, 0) + each}, room - each * length)
-                n, have = n - full * each, have - full
-                if n and have:
-                    self.add(1, held | {length: held.get(length, 0) + n}, room - n * length)
-                    n, have = 0, have - 1
-                self.add(have, held, room)
-            for have, held in groups:
-                self.add(have, held, room)
-            if not n:
-                return
-        each = self.capacity // length
-        self.add(n // each, {length: each}, self.capacity - each * length)
-        if n % each:
-            self.add(1, {length: n % each}, self.capacity - n % each * length)
-
-    def patterns(self) -> list[tuple[int, dict[int, int]]]:
-        return [g for room in sorted(self.groups) for g in self.groups[room]]
-
-
-def _rounded(lengths: np.ndarray, left: np.ndarray, capacity: int, bins: _Bins) -> None:
-    """Whole copies of the program's configurations, of the actual lengths in each class."""
+def fill(lengths: np.ndarray, left: np.ndarray, room: int, taken: dict[int, int]) -> dict[int, int]:
+    """Pieces that fill ``room`` as far as it can be filled, beside those ``taken``: number by index of the length.
+
+    A knapsack whose prices are the lengths, over the bits of one integer; long lengths come first, and no
+    more lengths than the room needs.
+    """
+    reach, steps, goal = 1, [], 1 << room
+    mask = (goal << 1) - 1
+    for i in range(int(np.searchsorted(lengths, room, side="right")) - 1, -1, -1):
+        size, n, k = int(lengths[i]), min(int(left[i]) - taken.get(i, 0), room // int(lengths[i])), 1
+        while n > 0:
+            k = min(k, n)
+            steps.append((i, k, k * size, reach))
+            reach |= reach << k * size & mask
+            n, k = n - k, 2 * k
+        if reach & goal:
+            break
+    at, out = reach.bit_length() - 1, defaultdict(int)
+    for i, k, length, before in reversed(steps):
+        if not before >> at & 1:
+            out[i] += k
+            at -= length
+    return dict(out)
+
+
+def _take(lengths: np.ndarray, left: np.ndarray, pieces: dict[int, int], most: int) -> tuple[int, dict[int, int]]:
+    """As many like sequences as the pieces allow, at most ``most``: (number, pieces by length)."""
+    n = min(most, *(int(left[i]) // k for i, k in pieces.items()))
+    for i, k in pieces.items():
+        left[i] -= k * n
+    return n, {int(lengths[i]): k for i, k in pieces.items()}
+
+
+def rounded(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[int, dict[int, int]]]:
+    """Whole copies of the program's configurations, taken out of ``left``."""
     edges = np.unique(np.linspace(0, len(lengths), min(CLASSES, len(lengths)) + 1).astype(int))
     parts = [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
     sizes = np.array([lengths[p][-1] for p in parts])
-    demand = np.array([left[p].sum() for p in parts], dtype=float)
+    demand = np.array([left[p].sum() for p in parts])
+    out = []
     for copies, counts in configurations(sizes, demand, capacity):
-        used = np.flatnonzero(counts)
-        n = int(min(np.floor(copies), min(left[parts[c]].sum() // counts[c] for c in used)))
-        while n > 0:  # runs of copies whose pieces all come from the same lengths
-            taken: dict[int, int] = defaultdict(int)
-            room = capacity
-            for k, c in enumerate(used[::-1]):
-                want = int(counts[c]) - (k == len(used) - 1)
+        used, n = np.flatnonzero(counts)[::-1], int(np.ceil(copies))
+        while n > 0 and all(left[parts[c]].sum() >= counts[c] for c in used):
+            pieces: dict[int, int] = {}
+            for c in used:
+                want = int(counts[c])
                 for i in range(parts[c].stop - 1, parts[c].start - 1, -1):
                     got = min(want, int(left[i]))
                     if got:
-                        taken[i] += got
-                        room -= got * int(lengths[i])
+                        pieces[i] = got
                         want -= got
                     if not want:
                         break
-            i = int(np.searchsorted(lengths, room, side="right")) - 1  # the last piece: the longest one that fits
-            while i >= 0 and left[i] <= taken.get(i, 0):
-                i -= 1
-            if i >= 0:
-                taken[i] += 1
-                room -= int(lengths[i])
-            run = min(n, *(int(left[i]) // k for i, k in taken.items())) if taken else 0
-            if not run or room > SLACK * capacity:  # such gaps are for best-fit to close
+            while True:  # full with its smallest piece, else with another in its place, else with others for the two smallest, ..
+                room = capacity - sum(int(lengths[i]) * k for i, k in pieces.items())
+                more = fill(lengths, left, room, pieces)
+                room -= sum(int(lengths[i]) * k for i, k in more.items())
+                if not room or not pieces:
+                    break
+                least = min(pieces)
+                pieces[least] -= 1
+                if not pieces[least]:
+                    del pieces[least]
+            if not pieces:
                 break
-            for i, k in taken.items():
-                left[i] -= k * run
-            bins.add(run, {int(lengths[i]): k for i, k in taken.items()}, room)
-            n -= run
+            for i, k in more.items():
+                pieces[i] = pieces.get(i, 0) + k
+            out.append(_take(lengths, left, pieces, n))
+            n -= out[-1][0]
+    return out
+
+
+def rest(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[int, dict[int, int]]]:
+    """Further copies for all that is in ``left``: its longest piece and the best filling each time."""
+    out = []
+    for i in range(len(lengths) - 1, -1, -1):
+        while left[i]:
+            pieces = fill(lengths, left, capacity - int(lengths[i]), {i: 1})
+            pieces[i] = pieces.get(i, 0) + 1
+            out.append(_take(lengths, left, pieces, int(left[i])))
+    return out
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
@@ -155,16 +159,8 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, dict[int,
     lengths = np.array(sorted(histogram), dtype=np.int64)
     if not len(lengths):
         return []
-    plans = []
-    for program in (True, False):
-        left, bins = np.array([histogram[int(x)] for x in lengths], dtype=np.int64), _Bins(capacity)
-        if program:
-            _rounded(lengths, left, capacity, bins)
-        for i in range(len(lengths) - 1, -1, -1):
-            if left[i]:
-                bins.best_fit(int(lengths[i]), int(left[i]))
-        plans.append(bins.patterns())
-    return min(plans, key=lambda p: sum(n for n, _ in p))
+    left = np.array([histogram[int(x)] for x in lengths], dtype=np.int64)
+    return rounded(lengths, left, capacity) + rest(lengths, left, capacity)
 
 
 def _places(patterns: list[tuple[int, dict[int, int]]]) -> dict[int, tuple[np.ndarray, ...]]:
@@ -205,8 +201,8 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
     """One row per piece: ``id_col``, piece, start, length, ids_crc32, sequence_id and offset.
 
     A null or empty text is one piece of the end id alone. Rows with a null or repeated id are packed
-    like any other. An empty table gives an empty result. Other columns are ignored. Texts are read
-    once; afterwards only the pieces' numbers move, with one shuffle by (partition, length).
+    like any other. Very long texts are cut into pieces of ``capacity`` ids; ties (pieces of equal length) take
+    any order. An empty table gives an empty result. Other columns are ignored. Texts are read once; afterwards only the pieces' numbers move, with one shuffle by (partition, length).
     """
     tune(df.sparkSession)
     spark = df.sparkSession

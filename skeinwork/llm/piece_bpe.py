@@ -145,8 +145,9 @@ def piece_codes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     """``id_col``, n_tokens, ids_sha256 and decoded_sha256 of every whole text.
 
     Ids include begin and end. A null or empty text has just those two and decodes to an empty text.
-    A null id stays null; repeated rows give repeated results; other columns are ignored. One narrow
-    pass, no shuffle.
+    A null id stays null; repeated rows give repeated results; very long texts are read whole; of equally good
+    pairs the leftmost merges first, as in the library. An empty table gives an empty result; other columns
+    are ignored, whatever their names. One narrow pass, no shuffle.
     """
 
     def run(batches):

@@ -19,7 +19,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ._fit import FIT_ROWS, held_out, labelled_sample, summed
 from ._kernels import grouped_order, span_hashes, string_slices, words
-from ._store import documents, tune
+from ._store import documents, fresh, tune
 from ._tokens import sums
 
 FOLDS, HELD_OUT = 3, 1
@@ -138,32 +138,37 @@ def fit(sample: DataFrame) -> Discriminant | None:
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, fit_docs: DataFrame | None = None, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """``docs`` with a ``_score`` from 0 to 1 for every text; fitted on ``fit_docs`` (default ``docs``).
+    """``docs`` with one more, last column, a score from 0 to 1 for every text; fitted on ``fit_docs`` (default ``docs``).
 
-    The fit uses about ``fit_rows`` labelled rows outside the held-out fold. Without labelled rows of
-    both classes every score is 0.5. Null and empty texts are scored by their (zero) statistics. All
-    rows and columns stay; repeated rows get equal scores. Texts are read in one narrow pass.
+    The column is ``_score``, or with further underscores if ``docs`` has a column of that name; all rows and
+    columns stay. The fit uses about ``fit_rows`` labelled rows outside the held-out fold; of an id with several
+    labels the greatest counts, of one with several texts each. Without labelled rows of both classes every score
+    is 0.5. Null and empty texts are scored by their (zero) statistics, equal texts alike; very long ones are
+    read whole, and an empty table stays empty. Texts are read in one narrow pass.
     """
     tune(docs.sparkSession)
     source = fit_docs if fit_docs is not None else docs
     source = source.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     model = fit(labelled_sample(source, labels, "quality", FOLDS, HELD_OUT, fit_rows))
 
-    at = docs.columns.index("text")
+    at, score_name = docs.columns.index("text"), fresh(docs, "_score")
 
     def run(batches):
         for batch in batches:
             for first in range(0, len(batch), _ROWS):  # in small pieces: neither side holds a large batch twice
                 part = batch.slice(first, _ROWS)
                 score = model.score(statistics(part.column(at))) if model else np.full(len(part), 0.5)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], [*batch.schema.names, "_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], [*batch.schema.names, score_name])
 
-    fields = [*docs.schema.fields, StructField("_score", DoubleType())]
+    fields = [*docs.schema.fields, StructField(score_name, DoubleType())]
     return docs.mapInArrow(run, StructType(fields))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted for every row of ``docs``; see :func:`quality_scores`."""
+    """doc_id, held_out, score and predicted for every row of ``docs``; see :func:`quality_scores`.
+
+    A null id is not held out; a score of exactly 0.5 (a tie) is predicted 1; other columns are ignored.
+    """
     scores = quality_scores(docs.select("doc_id", F.col("text").cast("string").alias("text")), labels)
     return scores.select("doc_id", held_out("doc_id", FOLDS, HELD_OUT).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
 

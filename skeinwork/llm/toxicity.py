@@ -2,8 +2,9 @@
 
 Voters look at a text and vote toxic (1), harmless (-1) or not at all (0): one for each strong term of
 a lexicon learned from labelled rows (whole words, and word beginnings for inflected or compounded
-ones), one for each group of weaker terms, a short general list of insults, patterns that address a
-reader with one, counts and densities of hits, and the absence of any.
+ones, which may have to occur twice or four times), one for each group of weaker terms, a short general list of
+insults, patterns that address a reader with one, counts and densities of hits, and the absence of any. Only
+prose is voted harmless: of a text that says one thing over and over, or is full of signs, absence says less.
 
 A generative label model fits the probability of every vote under both hidden classes by expectation
 maximisation on a bounded sample, and the voters' correlations within a class; weights solved against
@@ -27,19 +28,34 @@ from ._store import documents, store
 
 FOLDS, HELD_OUT, CUT = 4, 2, 0.3
 CANDIDATES, TERMS, STRONG, GROUPS = 20_000, 600, 24, 4
-BEGINNING = 5  # characters of a word's beginning
-MIN_TOXIC = 3
-LIFT, SURPRISE = 3.4, 3.2  # a term is 30 times as frequent in toxic rows, and not by chance
-MIN_SHARE, ASTRAY = 0.003, 0.02  # least share of toxic rows that hold it; hits in others for each hit in those
+BEGINNINGS, OFTEN = (4, 5, 6, 7), (2, 4)  # characters of a word's beginning; how often it occurs in a text
+MIN_TOXIC = 2
+LIFT, SURPRISE = 3.4, 2.8  # a term is 30 times as frequent in toxic rows, and not by chance
+MIN_SHARE, ASTRAY = 0.012, 0.05  # least share of toxic rows that hold it; hits in others for each hit in those
 INSULTS = frozenset("idiot idiots moron morons stupid loser losers scum trash pathetic worthless disgusting dumb imbecile garbage filth filthy vermin clown bastard bitch whore shit fuck fucking asshole retard cretin".split())
+PROSE, SIGNS = 2.0, 0.1  # least distinct words for the root of all, most signs a word
 _WORD = re.compile(r"[^\W\d_]+").findall
 _ADDRESS = re.compile(r"\b(?:you(?:['’]re| are)?|tu es|vous êtes|du bist|eres|stop being|such)\s+(?:an?\s+|un[ea]?\s+|ein[e]?\s+)?([^\W\d_]+)").findall
 
 
-def _terms(text: str) -> tuple[Counter, set[str]]:
-    """Counts of a text's words, and its distinct terms: words and the beginnings of longer ones."""
-    found = Counter(_WORD(text.lower()))
-    return found, set(found) | {"^" + w[:BEGINNING] for w in found if len(w) > BEGINNING}
+def _expand(found: dict[str, int]) -> set[str]:
+    """Terms of counted words: the words, ^ and the beginnings of longer ones, and those that occur often."""
+    begun: Counter = Counter()
+    for w, n in found.items():
+        for k in BEGINNINGS:
+            if len(w) <= k:
+                break
+            begun[w[:k]] += n
+    out = set(found)
+    out.update("^" + b for b in begun)
+    for k in OFTEN:
+        out.update(f"{k}^{b}" for b, n in begun.items() if n >= k)
+    return out
+
+
+def _terms(text: str) -> set[str]:
+    """A text's distinct terms."""
+    return _expand(Counter(_WORD(text.lower())))
 
 
 @dataclass
@@ -50,21 +66,32 @@ class Voters:
     groups: list[frozenset[str]]
     lexicon: frozenset[str] = field(default_factory=frozenset)
 
+    def __post_init__(self) -> None:
+        stems = {t.split("^")[-1] for t in self.lexicon}
+        self.heads = frozenset(w[:3] for w in stems | INSULTS)
+        self.words = frozenset(t for t in self.lexicon if "^" not in t) | INSULTS
+        self.beginnings = tuple({t.split("^")[1] for t in self.lexicon if "^" in t})
+
     @property
     def n(self) -> int:
         return len(self.strong) + len(self.groups) + 6
 
     def read(self, text: str | None) -> tuple[list[int], list[float]]:
         """Votes and features of one text."""
-        counts, terms = _terms(text or "")
-        hits = self.lexicon & terms
-        insults = INSULTS & terms
-        n_words = sum(counts.values())
-        hit_words = sum(c for w, c in counts.items() if w in self.lexicon or "^" + w[:BEGINNING] in self.lexicon and len(w) > BEGINNING or w in INSULTS) if hits or insults else 0
+        low = (text or "").lower()
+        found = Counter(_WORD(low))
+        heads = self.heads
+        some = {w: n for w, n in found.items() if w[:3] in heads}  # no other word can be part of a term
+        terms = _expand(some) if some else set()
+        hits, insults = self.lexicon & terms, INSULTS & terms
+        n_words = sum(found.values())
+        hit = {w for w in some if w in self.words or w.startswith(self.beginnings)} if hits or insults else set()
+        hit_words = sum(some[w] for w in hit)
         votes = [1 if t in terms else 0 for t in self.strong] + [1 if g & terms else 0 for g in self.groups]
-        addressed = bool(hits or insults) and any(w in self.lexicon or w in INSULTS for w in _ADDRESS((text or "").lower()))
+        addressed = bool(hit) and any(w in hit for w in _ADDRESS(low))
         density = hit_words / max(n_words, 1)
-        votes += [1 if insults else 0, 1 if addressed else 0, 1 if hit_words >= 2 else 0, 1 if density >= 0.005 else 0, -1 if not hit_words else 0, -1 if not hit_words and n_words >= 20 else 0]
+        prose = n_words >= 10 and len(found) >= PROSE * n_words**0.5 and sum(map(low.count, "!|#$%&*")) < SIGNS * n_words
+        votes += [1 if insults else 0, 1 if addressed else 0, 1 if hit_words >= 2 else 0, 1 if density >= 0.005 else 0, -1 if not hit_words else 0, -1 if not hit_words and prose else 0]
         return votes, [np.log1p(hit_words), np.log1p(1000 * density), np.log1p(len(hits)), np.log1p(n_words) / 10 * bool(hit_words)]
 
     def table(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +111,7 @@ def learn_voters(sample: DataFrame) -> Voters:
             total: Counter = Counter()
             for batch in batches:
                 for text in batch.column(0).to_pylist():
-                    terms = _terms(text or "")[1]
+                    terms = _terms(text or "")
                     total.update(terms if only is None else terms & only)
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["term", "n"])
 
@@ -95,6 +122,11 @@ def learn_voters(sample: DataFrame) -> Voters:
     rest = sample.where("label = 0").select("text").mapInArrow(counted(set(inside)), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
     outside = {r.term: r.n for r in rest.collect()}  # at most ``CANDIDATES`` rows
     n = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
+    return choose(inside, outside, n)
+
+
+def choose(inside: dict[str, int], outside: dict[str, int], n: dict[int, int]) -> Voters:
+    """The voters from numbers of toxic and of other rows that hold a term; ties go by the term's spelling."""
     if not n.get(1) or not n.get(0):
         return Voters([], [], frozenset())
 
@@ -106,7 +138,7 @@ def learn_voters(sample: DataFrame) -> Voters:
         rate = (inside[t] + outside.get(t, 0) + 1) / (n[0] + n[1] + 2)
         return (inside[t] - n[1] * rate) / np.sqrt(n[1] * rate * (1 - rate))
 
-    good = [t for t in inside if lift(t) > LIFT and surprise(t) > SURPRISE and inside[t] >= MIN_SHARE * n[1] and outside.get(t, 0) <= ASTRAY * inside[t]]
+    good = [t for t in inside if inside[t] >= MIN_TOXIC and lift(t) > LIFT and surprise(t) > SURPRISE and inside[t] >= MIN_SHARE * n[1] and outside.get(t, 0) <= ASTRAY * inside[t]]
     good = sorted(good, key=lambda t: (-inside[t] * min(lift(t), 6.0), t))[:TERMS]
     groups = [frozenset(good[STRONG + k :: GROUPS]) for k in range(GROUPS)]
     return Voters(good[:STRONG], groups, frozenset(good))
@@ -195,8 +227,12 @@ def fit(sample: DataFrame) -> Toxicity:
     if not rows:
         return Toxicity(voters, LabelModel(np.zeros(voters.n), -2.0), np.zeros(voters.n + 4), -2.0, np.zeros(voters.n))
     rows.sort(key=lambda r: (r.votes, r.features, r.label))
-    votes, features = np.array([r.votes for r in rows]), np.array([r.features for r in rows])
-    label_model, _ = fit_label_model(votes, float(np.mean([r.label for r in rows])))
+    return train(voters, np.array([r.votes for r in rows]), np.array([r.features for r in rows]), np.array([r.label for r in rows]))
+
+
+def train(voters: Voters, votes: np.ndarray, features: np.ndarray, labels: np.ndarray) -> Toxicity:
+    """The label model on votes, and the linear classifier on its posteriors; of the labels only their mean is used."""
+    label_model, _ = fit_label_model(votes, float(labels.mean()))
     soft = label_model.posterior(votes)
     weights, bias = _logistic(np.c_[votes, features], soft, np.ones(len(soft)), 1e-4)
     sure = np.abs(votes) > 0
@@ -208,8 +244,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS
     """doc_id, held_out, score and predicted (score >= ``CUT``) for every row of ``docs``.
 
     The fit uses about ``fit_rows`` labelled rows outside the held-out fold; without any, every score
-    is low. Null and empty texts hold no hit and score as such. Repeated rows get equal scores; other
-    columns are ignored. Texts are scored in one narrow pass.
+    is low. Of an id with several labels the greatest counts, of one with several texts each. Null and empty
+    texts hold no hit and score as such; equal texts get equal scores (terms that are equally strong are
+    taken by their spelling); very long texts are read whole. A null id is not held out. An empty table gives an
+    empty result; other columns are ignored, whatever their names. Texts are scored in one narrow pass.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     model = fit(store(labelled_sample(source, labels, "toxic", FOLDS, HELD_OUT, fit_rows).select("text", "label"), "toxic_sample"))
