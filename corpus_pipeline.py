@@ -32,12 +32,16 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: of each group of near duplicates the least document stays; repeated rows of it, once."""
+    """Operator 8: of each group of near duplicates the least document stays.
+
+    Rows of that id with equal texts stay once, those with other texts all stay, as do rows without an id.
+    """
     docs = docs.select(*COLUMNS)
     groups = near_dedup.near_duplicates(docs, percent=NEAR_PERCENT).where("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
     kept = docs.join(groups, F.col("doc_id") == F.col("_id")).drop("_id")
-    by_id = kept.groupBy("doc_id").agg(F.max(F.struct(*[c for c in COLUMNS if c != "doc_id"])).alias("row")).select("doc_id", "row.*").select(*COLUMNS)
-    return by_id.union(docs.where("doc_id is null"))
+    rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    once = kept.groupBy("doc_id", F.xxhash64("text").alias("_version"), F.length("text").alias("_length")).agg(F.max(F.struct("text", *rest)).alias("row"))
+    return once.select("doc_id", "row.*").select(*COLUMNS).union(docs.where("doc_id is null"))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
