@@ -34,34 +34,48 @@ BATCH_ROWS = 1000
 
 def tune(spark: SparkSession) -> None:
     """Lower the rows of an Arrow batch to ``BATCH_ROWS``: whole texts make large batches, held on both sides."""
+    spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", "4")  # a table written in two parts needs no sort
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back; the result has no lineage."""
+def store(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; the result has no lineage.
+
+    ``by`` names a column with few values, each of which :func:`drop_part` can delete by itself.
+    """
     spark = df.sparkSession
     tune(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "lz4").parquet(path)
+    writer = df.write.option("compression", "lz4")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(*tables: DataFrame) -> None:
-    """Delete the files of tables made by :func:`store` that nothing reads any more.
+def drop_part(df: DataFrame, part: str) -> None:
+    """Delete the files of one value (``column=value``) of a table stored ``by`` that column."""
+    files = [x for x in df.inputFiles() if f"/{part}/" in x]
+    if files:
+        _delete(df.sparkSession, files[0].rsplit("/", 1)[0])
+    reclaim(df.sparkSession)
 
-    The driver's garbage collector is asked to run, since only then does Spark delete the shuffle files
-    of the plans that have been carried out.
-    """
+
+def reclaim(spark: SparkSession) -> None:
+    """Ask the driver's garbage collector to run: only then does Spark delete the shuffle files of plans carried out."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of tables made by :func:`store` that nothing reads any more, and old shuffle files."""
     for df in tables:
         files = df.inputFiles()
         if files:
             _delete(df.sparkSession, files[0].rsplit("/", 1)[0])
     if tables:
-        gc.collect()
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
+        reclaim(tables[0].sparkSession)
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -103,7 +103,7 @@ def verify_stars(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def _block_links(ids: np.ndarray, sides: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
-    """Links between members of different components within one pair of blocks."""
+    """Links that join different components within one pair of blocks: a spanning forest of them."""
     flat = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, code, times = np.unique(flat, return_inverse=True, return_counts=True)
@@ -119,11 +119,24 @@ def _block_links(ids: np.ndarray, sides: np.ndarray, labels: np.ndarray, sets: l
         common += dense @ dense.T
     common = np.rint(common).astype(np.int64)
     good = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
-    good &= labels[:, None] != labels[None, :]
     if sides.any():
         good &= sides[:, None] != sides[None, :]
-    for i, j in zip(*np.nonzero(np.triu(good, 1)), strict=True):
-        yield int(ids[i]), int(ids[j])
+    _, part = np.unique(labels, return_inverse=True)
+    u, v = np.nonzero(np.triu(good & (part[:, None] != part[None, :]), 1))
+    # of the links between components those that join two that are still apart: fewer than there are components
+    while len(u):
+        least = np.full(part.max() + 1, len(u))
+        np.minimum.at(least, np.maximum(part[u], part[v]), np.arange(len(u)))
+        chosen = least[least < len(u)]  # each component of a greater number links to one of a less: no cycles
+        for i, j in zip(u[chosen], v[chosen], strict=True):
+            yield int(ids[i]), int(ids[j])
+        to = np.arange(part.max() + 1)
+        to[np.maximum(part[u[chosen]], part[v[chosen]])] = np.minimum(part[u[chosen]], part[v[chosen]])
+        while (to[to] != to).any():
+            to = to[to]
+        part = to[part]
+        apart = part[u] != part[v]
+        u, v = u[apart], v[apart]
 
 
 def verify_blocks(members: DataFrame, texts: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
@@ -171,7 +184,7 @@ def verify_blocks(members: DataFrame, texts: DataFrame, percent: int, block: int
     return joined.repartition("group").sortWithinPartitions("group", "id").mapInArrow(run, "u long, v long")
 
 
-def link_classes(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], percent: int, more_links: DataFrame | None = None) -> DataFrame:
+def link_classes(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], percent: int, more_links: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """(id, component) of the classes (id, keys) that link with others, by candidates of equal keys.
 
     ``texts_of`` gives (id, text) for a table of ids; ``more_links`` (u, v) holds without a comparison.
@@ -188,7 +201,7 @@ def link_classes(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
     labels = components(known)
     members = crowded.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     open_keys = members.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).where("a <> b and n > 2").select("key")
-    more = store(verify_blocks(members.join(open_keys, "key"), texts, percent), "blocks")
+    more = store(verify_blocks(members.join(open_keys, "key"), texts, percent, block), "blocks")
     drop(crowded, texts)
     if more.limit(1).count():
         old, labels = labels, components(known.union(more))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._kernels import U, distinct_sets, mix, set_digests, shingles, span_hashes, string_slices, window_hashes, words
-from ._store import documents, drop, fresh, join_hot, store
+from ._store import documents, drop, drop_part, fresh, join_hot, reclaim, store
 from .near_dedup import band_keys, link_classes, source
 
 WORDS = 51
@@ -34,6 +34,7 @@ KEY_WORDS = WORDS - WINNOW + 1
 PERCENT = 80
 BANDS, ROWS = 6, 2
 LEAST_WORDS = 1
+BLOCK = 512  # paragraphs of a bucket that are compared at once
 _FACTORS = mix(np.arange(101, 101 + KEY_WORDS, dtype=U)) | U(1)
 
 
@@ -159,7 +160,7 @@ def repeated_paragraphs(docs: DataFrame, lines: DataFrame) -> DataFrame:
         found = docs.join(chosen, ["id", "version"]).groupBy("id", "version").agg(F.first("text").alias("text"), F.first("chosen").alias("chosen"))
         return _cut_lines(found)
 
-    labels = link_classes(classes.select(F.col("class").alias("id"), "keys"), texts_of, PERCENT)
+    labels = link_classes(classes.select(F.col("class").alias("id"), "keys"), texts_of, PERCENT, block=BLOCK)
     placed = classes.join(labels.withColumnRenamed("id", "class"), "class", "left").select(*by_set, "times", F.col("rep.id").alias("first_id"), "last", F.coalesce("component", "class").alias("component"))
     placed = store(placed, "placed")
     heads = placed.groupBy("component").agg(F.min("first_id").alias("first_id"), F.max("last").alias("last")).where("first_id < last").select("component", "first_id")
@@ -204,20 +205,23 @@ def windows(marked: DataFrame) -> DataFrame:
     return marked.select("id", "version", "text", "words").mapInArrow(run, "hash long, id long, version long, word int")
 
 
-def repeated_windows(docs: DataFrame, anchors: DataFrame) -> DataFrame:
+def repeated_windows(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """(id, version, start, stop, first_id): runs of words covered by windows that other documents hold too.
 
-    ``anchors``: the anchors among :func:`marks` of ``docs``.
+    ``marked``: the stored :func:`marks` of ``docs``, whose anchors are deleted on the way.
     """
-    found = anchors.select(F.col("set_a").alias("key"), "id", "version", F.col("start").alias("word"))
+    found = marked.where("anchor").select(F.col("set_a").alias("key"), "id", "version", F.col("start").alias("word"))
     keys = found.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("times")).where("a < b").select("key", "times")
     keys = store(keys, "keys")
-    marked = store(join_hot(found, keys, ["key"], "times", found.count()).groupBy("id", "version").agg(F.array_sort(F.collect_set("word")).alias("words")), "marked")
+    reclaim(docs.sparkSession)
+    chosen = store(join_hot(found, keys, ["key"], "times", found.count()).groupBy("id", "version").agg(F.array_sort(F.collect_set("word")).alias("words")), "chosen")
+    drop_part(marked, "anchor=true")
     drop(keys)
-    hashed = store(windows(docs.join(marked, ["id", "version"])), "windows")
-    drop(marked)
+    hashed = store(windows(docs.join(chosen, ["id", "version"])), "windows")
+    drop(chosen)
     shared = hashed.groupBy("hash").agg(F.min("id").alias("first_id"), F.max("id").alias("b"), F.count("*").alias("times")).where("first_id < b").select("hash", "first_id", "times")
     shared = store(shared, "shared")
+    reclaim(docs.sparkSession)
     held = join_hot(hashed, shared, ["hash"], "times", hashed.count())
     runs = held.groupBy("id", "version", "first_id").agg(F.array_sort(F.collect_set("word")).alias("at")).select("id", "version", "first_id", F.explode(_runs("at")).alias("run"))
     out = store(runs.select("id", "version", "run.start", "run.stop", "first_id"), "runs")
@@ -235,10 +239,10 @@ def _runs(column: str) -> F.Column:
 
 def _repeats(df: DataFrame, id_col: str, text_col: str, least_words: int) -> DataFrame:
     docs = source(df, id_col, text_col).where("id is not null and length(text) > 0")
-    marked = store(marks(docs, least_words), "marks")
-    exact = repeated_windows(docs, marked.where("anchor"))
+    marked = store(marks(docs, least_words), "marks", "anchor")
     near = store(passages(repeated_paragraphs(docs, marked.where("not anchor"))), "passages")
-    drop(marked)
+    drop_part(marked, "anchor=false")
+    exact = repeated_windows(docs, marked)
     return near.withColumn("kind", F.lit("paragraph")).unionByName(exact.withColumn("kind", F.lit("window")))
 
 
