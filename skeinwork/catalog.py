@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,11 +44,21 @@ class ColumnMeta:
         return f"decimal({rest}" if kind == "decimal" and rest else "decimal(38,6)" if kind == "decimal" else kind
 
 
+@dataclass
+class Constraints:
+    """What a table's definition says of several columns: unique groups, checks, and (columns, table, its columns)."""
+
+    unique: list[list[str]] = field(default_factory=list)
+    checks: list[str] = field(default_factory=list)
+    foreign: list[tuple[list[str], str, list[str]]] = field(default_factory=list)
+
+
 @dataclass
 class TableMeta:
     name: str
     columns: list[ColumnMeta]
     data: DataFrame
+    constraints: Constraints = field(default_factory=Constraints)
 
     @property
     def pk(self) -> list[str]:
@@ -100,6 +110,38 @@ class Catalog:
     def db(self) -> Database:
         return self.databases[self.current]
 
+    def use(self, name: str) -> None:
+        """Make a database the current one: unqualified names mean its tables."""
+        for t in self.db.tables:
+            self.spark.catalog.dropTempView(t)
+        self.current = name
+        for t in self.db.tables.values():
+            t.data.createOrReplaceTempView(t.name)
+
+    def snapshot(self) -> dict[str, Database]:
+        """All databases as they are now; the metadata is copied, the DataFrames are immutable."""
+
+        def table(t: TableMeta) -> TableMeta:
+            c = t.constraints
+            return TableMeta(t.name, [replace(x) for x in t.columns], t.data, Constraints([list(u) for u in c.unique], list(c.checks), list(c.foreign)))
+
+        return {
+            name: Database(
+                name, {n: table(t) for n, t in db.tables.items()},
+                {n: EdgeTypeMeta(e.name, e.source, e.target, [replace(p) for p in e.properties], e.data) for n, e in db.edges.items()}, {n: replace(i, columns=list(i.columns)) for n, i in db.indexes.items()},
+            )
+            for name, db in self.databases.items()
+        }
+
+    def restore(self, databases: dict[str, Database]) -> None:
+        """Put back what :meth:`snapshot` gave."""
+        for t in self.db.tables:
+            self.spark.catalog.dropTempView(t)
+        self.databases = databases
+        self.current = self.current if self.current in databases else "demo"
+        for t in self.db.tables.values():
+            t.data.createOrReplaceTempView(t.name)
+
     def table(self, name: str) -> TableMeta:
         if name not in self.db.tables:
             raise CatalogError(f"no table {name!r}")

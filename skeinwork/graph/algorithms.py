@@ -6,15 +6,17 @@ The node set is the edges' ends; results are keyed by node_id; an empty edge tab
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.staging import staged
+from ..sources.staging import join_hot, scratch, staged, unstage
 from .edges import nodes, undirected
 from .traverse import reach
 
 LOUVAIN_EDGES = 2_000_000
+ORIGINS = 4096  # start nodes whose distances are held at once
 
 
 def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 20) -> DataFrame:
@@ -27,18 +29,27 @@ def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 20) -> D
     ranks = staged(nodes(edges).join(degree, "node_id", "left").select("node_id", F.coalesce("degree", F.lit(0)).alias("degree"), F.lit(1.0 / n).alias("score")), "ranks")
     for _ in range(iterations):
         loose = ranks.where("degree = 0").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("loose")).first()["loose"]
-        sent = links.join(ranks.withColumnRenamed("node_id", "src"), "src").groupBy(F.col("dst").alias("node_id")).agg(F.sum(F.col("score") / F.col("degree") * F.col("times")).alias("got"))
+        old, sent = ranks, links.join(ranks.withColumnRenamed("node_id", "src"), "src").groupBy(F.col("dst").alias("node_id")).agg(F.sum(F.col("score") / F.col("degree") * F.col("times")).alias("got"))
         ranks = staged(ranks.join(sent, "node_id", "left").select("node_id", "degree", (F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + loose / n)).alias("score")), "ranks")
+        unstage(old)
+    unstage(links)
     return ranks.select("node_id", "score")
 
 
 def _least_labels(labels: DataFrame, hops: DataFrame) -> DataFrame:
-    """(node_id, label) with every label carried along ``hops`` (src to dst) until nothing gets less."""
+    """(node_id, label) with every label carried along ``hops`` (src to dst) until nothing gets less.
+
+    A label is a node that reaches the one it is given to, so each round also takes the label's own label: rounds
+    grow with the logarithm of the longest way. ``labels`` has every node.
+    """
     labels = staged(labels, "labels")
     while True:
         got = hops.join(labels.withColumnRenamed("node_id", "src"), "src").groupBy(F.col("dst").alias("node_id")).agg(F.min("label").alias("got"))
-        new = staged(labels.join(got, "node_id", "left").select("node_id", F.least("label", F.coalesce("got", "label")).alias("label"), F.col("label").alias("old")), "labels")
+        step = labels.join(got, "node_id", "left").select("node_id", F.col("label").alias("old"), F.least("label", F.coalesce("got", "label")).alias("step"))
+        beyond = labels.select(F.col("node_id").alias("step"), F.col("label").alias("jump"))
+        new = staged(step.join(beyond, "step", "left").select("node_id", "old", F.least("step", F.coalesce("jump", "step")).alias("label")), "labels")
         settled = new.where("label <> old").isEmpty()
+        unstage(labels)
         labels = new.select("node_id", "label")
         if settled:
             return labels
@@ -72,17 +83,37 @@ def strongly_connected_components(edges: DataFrame) -> DataFrame:
     return done.join(done.groupBy("component_id").agg(F.count("*").alias("component_size")), "component_id").select("node_id", "component_id", "component_size")
 
 
-def _distances(edges: DataFrame) -> DataFrame:
-    """(origin, node, depth > 0) of all ordered pairs with a directed path: one join a level for all origins."""
-    simple = edges.where("src <> dst").groupBy("src", "dst").agg(F.min("edge_id").alias("edge_id"))
-    return reach(staged(simple, "simple"), nodes(edges).select(F.col("node_id").alias("origin"), F.col("node_id").alias("node")), max_visited=None, max_depth=1 << 30)
+def _batches(edges: DataFrame, measure: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """The union of ``measure``(simple edges, starts) over batches of about ``ORIGINS`` start nodes.
+
+    A batch's frontiers are deleted once it is measured, so that no more than one batch's pairs are stored;
+    what stays of it should be small.
+    """
+    with scratch() as keep:
+        simple = staged(edges.where("src <> dst").groupBy("src", "dst").agg(F.min("edge_id").alias("edge_id")), "simple")
+        everyone = staged(nodes(edges), "nodes")
+        n = -(-everyone.count() // ORIGINS)
+        for k in range(max(n, 1)):
+            starts = everyone.where(F.pmod(F.xxhash64("node_id"), F.lit(max(n, 1))) == k).select(F.col("node_id").alias("origin"), F.col("node_id").alias("node"))
+            with scratch() as inner:
+                inner.append(staged(measure(simple, starts), "measured"))
+            keep += inner
+    out = keep[0]
+    for part in keep[1:]:
+        out = out.union(part)
+    return out
+
+
+def _distances(simple: DataFrame, starts: DataFrame) -> DataFrame:
+    """(origin, node, depth > 0) of all pairs with a directed path from a start: one join a level."""
+    return reach(simple, starts, max_visited=None, max_depth=1 << 30)
 
 
 def closeness(edges: DataFrame, variant: str = "standard") -> DataFrame:
     """closeness, sum_farness, reachable_count (with itself), component_size (weak) and normalized_closeness."""
     if variant not in ("standard", "wasserman_faust"):
         raise ValueError(f"unknown variant {variant!r}")
-    far = _distances(edges).groupBy(F.col("origin").alias("node_id")).agg(F.sum("depth").alias("far"), F.count("*").alias("reached"))
+    far = _batches(edges, lambda e, starts: _distances(e, starts).groupBy(F.col("origin").alias("node_id")).agg(F.sum("depth").alias("far"), F.count("*").alias("reached")))
     weak = connected_components(edges)
     sizes = weak.groupBy("component_id").agg(F.count("*").alias("component_size"))
     out = weak.join(sizes, "component_id").join(far, "node_id", "left").withColumns({"far": F.coalesce("far", F.lit(0)).cast("double"), "reached": F.coalesce("reached", F.lit(0))})
@@ -98,17 +129,14 @@ def closeness(edges: DataFrame, variant: str = "standard") -> DataFrame:
 def harmonic(edges: DataFrame) -> DataFrame:
     """harmonic (sum of 1 / distance along out edges) and normalized_harmonic."""
     n = nodes(edges).count()
-    near = _distances(edges).groupBy(F.col("origin").alias("node_id")).agg(F.sum(1.0 / F.col("depth")).alias("h"))
+    near = _batches(edges, lambda e, starts: _distances(e, starts).groupBy(F.col("origin").alias("node_id")).agg(F.sum(1.0 / F.col("depth")).alias("h")))
     value = F.coalesce("h", F.lit(0.0))
     return nodes(edges).join(near, "node_id", "left").select("node_id", value.alias("harmonic"), (value / float(max(n - 1, 1))).alias("normalized_harmonic"))
 
 
-def betweenness(edges: DataFrame, normalized: bool = True) -> DataFrame:
-    """centrality by Brandes' sums over all sources at once: path counts forward, dependencies backward, by level."""
-    simple = staged(edges.where("src <> dst").groupBy("src", "dst").agg(F.min("edge_id").alias("edge_id")), "simple")
-    everyone = nodes(edges)
-    n = everyone.count()
-    depth = staged(reach(simple, everyone.select(F.col("node_id").alias("origin"), F.col("node_id").alias("node")), max_visited=None, max_depth=1 << 30, include_start=True).select("origin", "node", "depth"), "depth")
+def _dependencies(simple: DataFrame, starts: DataFrame) -> DataFrame:
+    """(node, c): Brandes' sums over the start nodes; path counts forward, dependencies backward, by level."""
+    depth = staged(reach(simple, starts, max_visited=None, max_depth=1 << 30, include_start=True).select("origin", "node", "depth"), "depth")
     most = depth.agg(F.coalesce(F.max("depth"), F.lit(0)).alias("d")).first()["d"]
     arcs = simple.join(depth.select("origin", F.col("node").alias("src"), F.col("depth").alias("d")), "src")
     arcs = staged(arcs.join(depth.select("origin", F.col("node").alias("dst"), F.col("depth").alias("e")), ["origin", "dst"]).where("e = d + 1").select("origin", "src", "dst", "e"), "arcs")
@@ -116,18 +144,22 @@ def betweenness(edges: DataFrame, normalized: bool = True) -> DataFrame:
     for d in range(1, most + 1):
         step = arcs.where(F.col("e") == d).join(levels[-1].withColumnRenamed("node", "src"), ["origin", "src"])
         levels.append(staged(step.groupBy("origin", F.col("dst").alias("node")).agg(F.sum("sigma").alias("sigma")), "sigma"))
-    delta, total = None, None
+    delta, total = None, starts.select("node", F.lit(0.0).alias("delta"))
     for d in range(most, 0, -1):
         below = levels[d].select("origin", F.col("node").alias("dst"), F.col("sigma").alias("below"))
         below = below.join(delta.withColumnRenamed("node", "dst"), ["origin", "dst"], "left") if delta is not None else below.withColumn("delta", F.lit(0.0))
         step = arcs.where(F.col("e") == d).join(below, ["origin", "dst"]).join(levels[d - 1].withColumnRenamed("node", "src"), ["origin", "src"])
         delta = staged(step.groupBy("origin", F.col("src").alias("node")).agg(F.sum(F.col("sigma") / F.col("below") * (1 + F.coalesce("delta", F.lit(0.0)))).alias("delta")), "delta")
-        inner = delta.where("origin <> node").select("node", "delta")
-        total = inner if total is None else total.union(inner)
+        total = total.union(delta.where("origin <> node").select("node", "delta"))
+    return total.groupBy("node").agg(F.sum("delta").alias("c"))
+
+
+def betweenness(edges: DataFrame, normalized: bool = True) -> DataFrame:
+    """centrality by Brandes' sums over all sources, a batch of sources at a time."""
+    everyone = nodes(edges)
+    n = everyone.count()
     scale = 1.0 / ((n - 1) * (n - 2)) if normalized and n > 2 else 1.0
-    if total is None:
-        return everyone.select("node_id", F.lit(0.0).alias("centrality"))
-    got = total.groupBy(F.col("node").alias("node_id")).agg(F.sum("delta").alias("c"))
+    got = _batches(edges, _dependencies).groupBy(F.col("node").alias("node_id")).agg(F.sum("c").alias("c"))
     return everyone.join(got, "node_id", "left").select("node_id", (F.coalesce("c", F.lit(0.0)) * scale).alias("centrality"))
 
 
@@ -145,18 +177,20 @@ def degree_centrality(edges: DataFrame, direction: str = "all") -> DataFrame:
 def eigenvector(edges: DataFrame, iterations: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """score and iterations_used: power iteration on A + I in each weak component, all components at once."""
     hops = staged(undirected(edges), "hops")
-    weak = connected_components(edges)
-    size = weak.groupBy("component_id").agg(F.count("*").alias("size"))
-    now = staged(weak.join(size, "component_id").select("node_id", "component_id", "size", (1 / F.sqrt(F.col("size").cast("double"))).alias("score"), F.lit(0).alias("used"), (F.col("size") == 1).alias("settled")), "eigen")
+    weak = staged(connected_components(edges), "weak")
+    n = weak.count()
+    size = staged(weak.groupBy("component_id").agg(F.count("*").alias("size")), "size")
+    now = staged(join_hot(weak, size, "component_id", "size", n).select("node_id", "component_id", "size", (1 / F.sqrt(F.col("size").cast("double"))).alias("score"), F.lit(0).alias("used"), (F.col("size") == 1).alias("settled")), "eigen")
     for _ in range(iterations):
         open_rows = now.where("not settled")
         got = hops.join(open_rows.select(F.col("node_id").alias("src"), "score"), "src").groupBy(F.col("dst").alias("node_id")).agg(F.sum("score").alias("got"))
-        raw = open_rows.join(got, "node_id", "left").withColumn("raw", F.col("score") + F.coalesce("got", F.lit(0.0)))
-        norms = raw.groupBy("component_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-        new = raw.join(norms, "component_id").withColumn("new", F.col("raw") / F.col("norm"))
-        moved = new.groupBy("component_id").agg((F.sqrt(F.sum((F.col("new") - F.col("score")) ** 2)) < tolerance).alias("near"))
-        new = new.join(moved, "component_id").select("node_id", "component_id", "size", F.col("new").alias("score"), (F.col("used") + 1).alias("used"), F.col("near").alias("settled"))
-        now = staged(new.union(now.where("settled")), "eigen")
+        raw = staged(open_rows.join(got, "node_id", "left").withColumn("raw", F.col("score") + F.coalesce("got", F.lit(0.0))), "raw")
+        norms = raw.groupBy("component_id", "size").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+        new = staged(join_hot(raw, norms.withColumnRenamed("size", "times"), "component_id", "times", n).drop("times").withColumn("new", F.col("raw") / F.col("norm")), "new")
+        moved = new.groupBy("component_id", F.col("size").alias("times")).agg((F.sqrt(F.sum((F.col("new") - F.col("score")) ** 2)) < tolerance).alias("near"))
+        ready = join_hot(new, moved, "component_id", "times", n).select("node_id", "component_id", "size", F.col("new").alias("score"), (F.col("used") + 1).alias("used"), F.col("near").alias("settled"))
+        old, now = now, staged(ready.union(now.where("settled")), "eigen")
+        unstage(old, raw, new)
         if now.where("not settled").isEmpty():
             break
     score = F.when(F.col("size") == 1, 0.0).otherwise(F.col("score"))

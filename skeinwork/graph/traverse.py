@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.staging import staged
+from ..sources.staging import scratch, staged
 from .edges import oriented
 
 MAX_DEPTH = 100
@@ -81,9 +81,40 @@ def traverse_edges(edges: DataFrame, start: object, direction: str = "OUT", max_
 
 
 def shortest_path(edges: DataFrame, source: object, target: object, direction: str = "OUT", max_depth: int = MAX_DEPTH, max_visited: int | None = MAX_VISITED) -> DataFrame:
-    """(node, hop) of one shortest path in order, both ends included; equal ends: hop 0; none: no rows."""
+    """(node, hop) of one shortest path in order, both ends included; equal ends: hop 0; none: no rows.
+
+    Frontiers grow from both ends, the smaller one first, and the search stops at the level where they meet. Of
+    several paths the one through the least meeting node counts, and on both sides of it the least neighbours.
+    The path itself is read off the levels, one row each.
+    """
     spark, key = edges.sparkSession, dict(edges.dtypes)["src"]
     if source == target:
         return spark.range(1).select(F.lit(source).cast(key).alias("node"), F.lit(0).alias("hop"))
-    found = traverse(edges, source, direction, max_depth, trace=True, max_visited=max_visited).where(F.col("node") == F.lit(target).cast(key))
-    return found.select(F.posexplode("path_nodes").alias("hop", "node")).select("node", F.col("hop").cast("int").alias("hop"))
+    ahead = oriented(edges.select("edge_id", "src", "dst"), direction).select("src", "dst")
+    hops = [ahead, ahead.select(F.col("dst").alias("src"), F.col("src").alias("dst"))]
+    with scratch():
+        levels = [[staged(spark.range(1).select(F.lit(end).cast(key).alias("node"), F.lit(None).cast(key).alias("before")), "end")] for end in (source, target)]
+        visited, sizes, seen = [x[0].select("node") for x in levels], [1, 1], [1, 1]
+        for _ in range(max_depth):
+            side = 0 if sizes[0] <= sizes[1] else 1
+            step = levels[side][-1].select(F.col("node").alias("src")).join(hops[side], "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("before"))
+            fresh = staged(step.join(visited[side], "node", "left_anti"), "frontier")
+            levels[side].append(fresh)
+            sizes[side] = fresh.count()
+            seen[side] += sizes[side]
+            if not sizes[side]:
+                break
+            met = fresh.join(visited[1 - side], "node", "left_semi").agg(F.min("node").alias("node")).first()["node"]
+            if met is not None:
+                path = [met]
+                for end in (0, 1):
+                    deep = next(d for d in range(len(levels[end]) - 1, -1, -1) if not levels[end][d].where(F.col("node") == F.lit(met)).isEmpty())
+                    at = met
+                    for d in range(deep, 0, -1):
+                        at = levels[end][d].where(F.col("node") == F.lit(at)).first()["before"]
+                        path = [at, *path] if end == 0 else [*path, at]
+                return spark.createDataFrame(list(enumerate(path)), f"hop int, node {key}").select("node", "hop")
+            visited[side] = visited[side].union(fresh.select("node"))
+            if max_visited is not None and sum(seen) > max_visited:
+                raise ValueError(f"the search visited more than {max_visited} nodes")
+    return spark.createDataFrame([], f"node {key}, hop int")

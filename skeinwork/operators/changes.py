@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..catalog import UNSIGNED, Catalog, CatalogError, ColumnMeta, EdgeTypeMeta, IndexMeta, TableMeta
+from ..catalog import UNSIGNED, Catalog, CatalogError, ColumnMeta, Constraints, EdgeTypeMeta, IndexMeta, TableMeta
 from ..sources.staging import staged
 from ..vector.provider import backfill
 
@@ -18,7 +18,7 @@ def _publish(meta: TableMeta, data: DataFrame) -> None:
 
 
 def _unique_sets(catalog: Catalog, meta: TableMeta) -> list[list[str]]:
-    sets = [meta.pk] if meta.pk else []
+    sets = ([meta.pk] if meta.pk else []) + meta.constraints.unique
     return sets + [[c.name] for c in meta.columns if c.unique and not c.primary] + [i.columns for i in catalog.db.indexes.values() if i.table == meta.name and i.unique]
 
 
@@ -35,12 +35,34 @@ def _checked(catalog: Catalog, meta: TableMeta, fresh: DataFrame, old: DataFrame
             there = catalog.table(c.references[0]).data.select(F.col(c.references[1]).alias(c.name))
             if not fresh.where(F.col(c.name).isNotNull()).join(there, c.name, "left_anti").isEmpty():
                 raise CatalogError(f"{meta.name}.{c.name} refers to a missing row")
+    if enforce:
+        for check in meta.constraints.checks:
+            if not fresh.where(f"NOT ({check})").isEmpty():
+                raise CatalogError(f"CHECK ({check}) of {meta.name} fails")
+        for columns, table, keys in meta.constraints.foreign:
+            there = catalog.table(table).data.select(*[F.col(k).alias(c) for c, k in zip(columns, keys, strict=True)])
+            if not fresh.dropna(subset=columns).join(there, columns, "left_anti").isEmpty():
+                raise CatalogError(f"{meta.name}.{columns} refers to a missing row")
     for key in _unique_sets(catalog, meta):
         some = fresh.dropna(subset=key)  # NULL keys never conflict
         if not some.groupBy(*key).count().where("count > 1").isEmpty() or old is not None and not some.join(old.select(*key), key, "left_semi").isEmpty():
             raise CatalogError(f"duplicate key {key} in {meta.name}")
 
 
+def numbered(rows: DataFrame, name: str, after: int) -> DataFrame:
+    """``rows`` with consecutive numbers from ``after`` + 1 on in the order of their partitions.
+
+    Each partition is numbered by itself; the numbers of rows before it, one a partition, are broadcast.
+    """
+    place = "__place"
+    rows = staged(rows.withColumn(place, F.monotonically_increasing_id()), "rows")
+    part = F.shiftright(place, 33)
+    counts = rows.groupBy(part.alias("__part")).agg((F.max(place) - F.shiftleft(F.shiftright(F.max(place), 33), 33) + 1).alias("n"))
+    before = counts.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__before"))
+    out = rows.join(F.broadcast(before), part == F.col("__part"))
+    return out.withColumn(name, F.col("__before") + F.col(place) - F.shiftleft(part, 33) + after + 1).drop(place, "__part", "__before")
+
+
 def insert(catalog: Catalog, table: str, rows: DataFrame, columns: Sequence[str] | None = None, enforce: bool = False) -> DataFrame:
     """Append ``rows``; returns them as stored. Missing columns get their default, next number or NULL."""
     meta = catalog.table(table)
@@ -54,7 +76,8 @@ def insert(catalog: Catalog, table: str, rows: DataFrame, columns: Sequence[str]
             value = F.col(c.name).cast(c.spark_type)
         elif c.autoincrement:
             top = meta.data.agg(F.coalesce(F.max(c.name), F.lit(0)).alias("m")).first()["m"]
-            value = (F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) + F.lit(top)).cast(c.spark_type)
+            rows = numbered(rows, "__number", top)
+            value = F.col("__number").cast(c.spark_type)
         else:
             value = F.expr(c.default).cast(c.spark_type) if c.default is not None else F.lit(None).cast(c.spark_type)
         out.append(value.alias(c.name))
@@ -102,7 +125,7 @@ def link(catalog: Catalog, edge: str, rows: DataFrame) -> int:
         if not full.join(table.data.select(F.col(table.pk[0]).alias(end)), end, "left_anti").isEmpty():
             raise CatalogError(f"LINK {edge}: no such row in {name}")
     top = meta.data.agg(F.coalesce(F.max("edge_id"), F.lit(-1)).alias("m")).first()["m"]
-    fresh = staged(full.withColumn("edge_id", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) + F.lit(top)).select(F.col("edge_id").cast("long").alias("edge_id"), *names), "link")
+    fresh = staged(numbered(full, "edge_id", top).select("edge_id", *names), "link")
     meta.data = meta.data.unionByName(fresh)
     return fresh.count()
 
@@ -120,7 +143,7 @@ def unlink(catalog: Catalog, edge: str, source: object, target: object, where: s
 # ------------------------------------------------------------------ schema
 
 
-def create_table(catalog: Catalog, name: str, columns: list[ColumnMeta], if_not_exists: bool = False) -> TableMeta:
+def create_table(catalog: Catalog, name: str, columns: list[ColumnMeta], if_not_exists: bool = False, constraints: Constraints | None = None) -> TableMeta:
     if name in catalog.db.tables:
         if if_not_exists:
             return catalog.table(name)
@@ -129,7 +152,7 @@ def create_table(catalog: Catalog, name: str, columns: list[ColumnMeta], if_not_
         if c.autoincrement and (not c.primary or c.default is not None or c.spark_type not in ("tinyint", "smallint", "int", "bigint")):
             raise CatalogError("AUTOINCREMENT needs an integer primary key without DEFAULT")
     schema = ", ".join(f"`{c.name}` {c.spark_type}" for c in columns)
-    meta = catalog.db.tables[name] = TableMeta(name, columns, catalog.spark.createDataFrame([], schema))
+    meta = catalog.db.tables[name] = TableMeta(name, columns, catalog.spark.createDataFrame([], schema), constraints or Constraints())
     _publish(meta, meta.data)
     return meta
 
@@ -166,6 +189,8 @@ def drop_column(catalog: Catalog, table: str, name: str) -> None:
     column = meta.column(name)
     if column.primary or len(meta.columns) == 1:
         raise CatalogError("a primary key or a last column can't be dropped")
+    if any(name in group for group in [*meta.constraints.unique, *(c for c, _, _ in meta.constraints.foreign)]):
+        raise CatalogError(f"a constraint of {table!r} names {name!r}")
     meta.columns.remove(column)
     _publish(meta, meta.data.drop(name))
 
@@ -175,6 +200,8 @@ def rename_column(catalog: Catalog, table: str, old: str, new: str) -> None:
     if any(c.name == new for c in meta.columns):
         raise CatalogError(f"column {new!r} exists")
     meta.column(old).name = new
+    meta.constraints.unique = [[new if c == old else c for c in group] for group in meta.constraints.unique]
+    meta.constraints.foreign = [([new if c == old else c for c in group], t, keys) for group, t, keys in meta.constraints.foreign]
     _publish(meta, meta.data.withColumnRenamed(old, new))
 
 

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..catalog import CatalogError
 from ..functions import scalars
 from ..graph import match, traverse
 from ..sources.files import table
@@ -22,27 +23,26 @@ ORACLE_SQL: dict[str, str] = {}
 KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "events": "event_id", "documents": "doc_id", "embeddings": "vec_id", "benchmark": "item_id", "pages": "page_id"}
 
 VISITS = "SELECT event_id AS edge_id, user_id AS src, nxt AS dst FROM (SELECT event_id, user_id, lead(user_id) OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts, event_id) AS nxt FROM events) w WHERE nxt IS NOT NULL"
-SUPPLIED = "SELECT a.l_suppkey * 1000000 + b.l_suppkey AS edge_id, a.l_suppkey AS src, b.l_suppkey AS dst, CAST(count(*) AS DOUBLE) AS w FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey WHERE a.l_orderkey % 16 = 1 GROUP BY a.l_suppkey, b.l_suppkey"
-#: Suppliers that share an order, of all orders; SUPPLIED holds one order in 16 and stays for the SQL registered on it.
+#: Suppliers that share an order, weighted by the number of those orders.
 CO_SUPPLIED = "SELECT a.l_suppkey * 1000000 + b.l_suppkey AS edge_id, a.l_suppkey AS src, b.l_suppkey AS dst, CAST(count(*) AS DOUBLE) AS w FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY a.l_suppkey, b.l_suppkey"
 CONTAINS = "SELECT l_orderkey * 10 + l_linenumber AS edge_id, l_orderkey AS src, l_partkey AS dst, l_quantity AS quantity, l_extendedprice AS price FROM lineitem"
 PLACED = "SELECT o_orderkey AS edge_id, o_custkey AS src, o_orderkey AS dst FROM orders"
 
 
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
-    """The test tables as a catalog with five edge types; nothing is read yet."""
+    """The test tables as a catalog with four edge types; nothing is read yet."""
     e = Engine(spark)
     for name in (*KEYS, "lineitem", "labels", "conversations"):
         e.catalog.register(name, table(spark, sf_dir, name), KEYS.get(name))
     e.catalog.register("users", spark.sql("SELECT DISTINCT user_id FROM events"), "user_id")
-    for name, sql, source, target in (("visits", VISITS, "users", "users"), ("supplied", SUPPLIED, "supplier", "supplier"), ("co_supplied", CO_SUPPLIED, "supplier", "supplier"), ("contains", CONTAINS, "orders", "part"), ("placed", PLACED, "customer", "orders")):
+    for name, sql, source, target in (("visits", VISITS, "users", "users"), ("co_supplied", CO_SUPPLIED, "supplier", "supplier"), ("contains", CONTAINS, "orders", "part"), ("placed", PLACED, "customer", "orders")):
         e.catalog.register_edges(name, spark.sql(sql), source, target)
     return e
 
 
 def edges(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One edge type's table, from the tables it is made of."""
-    source, sql = {"visits": ("events", VISITS), "supplied": ("lineitem", SUPPLIED), "co_supplied": ("lineitem", CO_SUPPLIED), "contains": ("lineitem", CONTAINS), "placed": ("orders", PLACED)}[name]
+    source, sql = {"visits": ("events", VISITS), "co_supplied": ("lineitem", CO_SUPPLIED), "contains": ("lineitem", CONTAINS), "placed": ("orders", PLACED)}[name]
     table(spark, sf_dir, source).createOrReplaceTempView(source)
     return spark.sql(sql)
 
@@ -164,9 +164,11 @@ def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.catalog.edge("placed").data.agg(F.count("*").alias("n"))
 
 
-dialect("show_tables", "SHOW TABLES", None)
-dialect("virtual_catalog", "SELECT relname, relkind FROM pg_catalog.pg_class", None)
+_NAMES = ", ".join(f"('{t}')" for t in sorted([*KEYS, "lineitem", "labels", "conversations", "users"]))
+dialect("show_tables", "SHOW TABLES", f"SELECT name FROM (VALUES {_NAMES}) t(name)")
+dialect("virtual_catalog", "SELECT relname, relkind FROM pg_catalog.pg_class", f"SELECT name AS relname, 'r' AS relkind FROM (VALUES {_NAMES}) t(name)")
 dialect("explain_plan", "EXPLAIN SELECT count(*) FROM orders WHERE o_orderkey < 10", None)
+dialect("explain_json", "EXPLAIN (FORMAT JSON) SELECT count(*) FROM orders", None)
 
 # ------------------------------------------------------------------ graph
 
@@ -211,26 +213,14 @@ def _shortest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 dialect("match_two_hops", "MATCH (c:customer WHERE c.c_mktsegment = 'BUILDING')-[p:placed]->(o:orders)-[x:contains WHERE quantity > 40]->(t:part) WHERE o.o_totalprice > 100000 RETURN c.c_custkey, o.o_orderkey, t.p_partkey, x.quantity AS quantity, o.o_totalprice * 2 AS twice", "SELECT c_custkey, o_orderkey, p_partkey, l_quantity AS quantity, o_totalprice * 2 AS twice FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE c_mktsegment = 'BUILDING' AND l_quantity > 40 AND o_totalprice > 100000")
-dialect("match_incoming", "MATCH (t:part)<-[x:contains]-(o:orders) WHERE t.p_partkey < 20 RETURN t.p_partkey, o.o_orderkey", "SELECT l_partkey AS p_partkey, l_orderkey AS o_orderkey FROM lineitem WHERE l_partkey < 20")
-dialect("match_repeated_variable", "MATCH (a:users)-[r:visits]->(b:users)-[s:visits]->(a) WHERE a.user_id < 10 RETURN a.user_id AS a, b.user_id AS b", f"WITH v AS ({VISITS}) SELECT x.src AS a, x.dst AS b FROM v x JOIN v y ON x.dst = y.src AND y.dst = x.src WHERE x.src < 10")
-dialect("match_repeated_variable_all", "MATCH (a:users)-[r:visits]->(b:users)-[s:visits]->(a) RETURN a.user_id AS a, b.user_id AS b", f"WITH v AS ({VISITS}) SELECT x.src AS a, x.dst AS b FROM v x JOIN v y ON x.dst = y.src AND y.dst = x.src")
+dialect("match_incoming", "MATCH (t:part)<-[x:contains]-(o:orders) WHERE t.p_size < 20 RETURN t.p_partkey, o.o_orderkey", "SELECT l_partkey AS p_partkey, l_orderkey AS o_orderkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size < 20")
+dialect("match_repeated_variable", "MATCH (a:users)-[r:visits]->(b:users)-[s:visits]->(a) RETURN a.user_id AS a, b.user_id AS b", f"WITH v AS ({VISITS}) SELECT x.src AS a, x.dst AS b FROM v x JOIN v y ON x.dst = y.src AND y.dst = x.src")
 dialect("match_shortest_k", "MATCH p = SHORTEST 2 (a:users)-[r:visits]->{1,2}(b:users) RETURN a.user_id AS a, b.user_id AS b, path_length(p) AS n", f"WITH v AS ({VISITS}), q AS (SELECT src AS a, dst AS b, 1 AS n FROM v WHERE src <> dst UNION ALL SELECT x.src, y.dst, 2 FROM v x JOIN v y ON x.dst = y.src WHERE x.src <> x.dst AND y.src <> y.dst AND x.src <> y.dst) SELECT a, b, CAST(n AS BIGINT) AS n FROM (SELECT a, b, n, row_number() OVER (PARTITION BY a, b ORDER BY n) AS k FROM q) t WHERE k <= 2")
 dialect("match_in_subquery", "SELECT o_orderkey FROM orders WHERE o_orderkey IN (MATCH (o:orders)-[x:contains]->(t:part) WHERE t.p_size = 7 RETURN o.o_orderkey)", "SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size = 7)")
 dialect("match_correlated_exists", "SELECT c.c_custkey FROM customer c WHERE EXISTS (MATCH (a:customer)-[p:placed]->(o:orders) WHERE a.c_custkey = c.c_custkey AND o.o_totalprice > 300000 RETURN o.o_orderkey)", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
-dialect("match_variable_length", "MATCH (a:supplier WHERE s_suppkey < 4)-[r:supplied WHERE w > 1]->{1,2}(b:supplier) RETURN a.s_suppkey AS a, b.s_suppkey AS b", f"WITH v AS (SELECT * FROM ({SUPPLIED}) s WHERE w > 1) SELECT src AS a, dst AS b FROM v WHERE src < 4 UNION ALL SELECT x.src, y.dst FROM v x JOIN v y ON y.src = x.dst AND y.dst <> x.src WHERE x.src < 4")
-
-
-@query("match_any_shortest_weighted", f"WITH RECURSIVE v AS ({SUPPLIED}), r(s, node, total, hops) AS (SELECT DISTINCT src, src, CAST(0 AS DOUBLE), 0 FROM v WHERE src <= 2 UNION SELECT r.s, v.dst, r.total + v.w, r.hops + 1 FROM r JOIN v ON v.src = r.node WHERE r.hops < 3) SELECT s AS start, node, min(total) AS total_weight FROM r WHERE hops > 0 GROUP BY s, node")
-def _weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = edges(spark, sf_dir, "supplied")
-    starts = e.where("src <= 2").select(F.col("src").alias("start")).distinct()
-    best = match.shortest(match.Edge("r", e, "OUT", (1, 3)), starts, "ANY", weight="w")
-    return best.select("start", "node", "total_weight")
-
-
-@query("match_variable_length_all", f"WITH v AS (SELECT * FROM ({CO_SUPPLIED}) s WHERE w > 1) SELECT src AS a, dst AS b FROM v UNION ALL SELECT x.src, y.dst FROM v x JOIN v y ON y.src = x.dst AND y.dst <> x.src")
+@query("match_variable_length", f"WITH v AS (SELECT * FROM ({CO_SUPPLIED}) s WHERE w > 1) SELECT src AS a, dst AS b FROM v UNION ALL SELECT x.src, y.dst FROM v x JOIN v y ON y.src = x.dst AND y.dst <> x.src")
 def _variable_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """match_variable_length from every supplier over all orders; hops are bounded, so the number of paths is not."""
+    """From every supplier over all orders; hops are bounded, so the number of paths is not."""
     suppliers, e = table(spark, sf_dir, "supplier"), edges(spark, sf_dir, "co_supplied")
     hop = match.Edge("r", e, "OUT", (1, 2), "w > 1")
     starts = suppliers.select(F.col("s_suppkey").alias("start"))
@@ -240,9 +230,9 @@ def _variable_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STEP = "SELECT s, node, min(total) AS total FROM (SELECT * FROM {0} UNION ALL SELECT {0}.s, v.dst, {0}.total + v.w FROM {0} JOIN v ON v.src = {0}.node) t GROUP BY s, node"
 
 
-@query("match_any_shortest_weighted_all", f"WITH v AS ({CO_SUPPLIED}), h1 AS (SELECT src AS s, dst AS node, w AS total FROM v), h2 AS ({_STEP.format('h1')}), h3 AS ({_STEP.format('h2')}) SELECT s AS start, node, total AS total_weight FROM h3")
-def _weighted_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """match_any_shortest_weighted from every supplier over all orders."""
+@query("match_any_shortest_weighted", f"WITH v AS ({CO_SUPPLIED}), h1 AS (SELECT src AS s, dst AS node, w AS total FROM v), h2 AS ({_STEP.format('h1')}), h3 AS ({_STEP.format('h2')}) SELECT s AS start, node, total AS total_weight FROM h3")
+def _weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From every supplier over all orders."""
     e = edges(spark, sf_dir, "co_supplied")
     best = match.shortest(match.Edge("r", e, "OUT", (1, 3)), e.select(F.col("src").alias("start")).distinct(), "ANY", weight="w")
     return best.select("start", "node", "total_weight")
@@ -264,10 +254,98 @@ dialect("harmonic", "SELECT node_id, round(harmonic, 6) AS harmonic FROM harmoni
 _UNDIRECTED = f"WITH e AS (SELECT DISTINCT src, dst FROM ({VISITS}) v WHERE src <> dst), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), n AS (SELECT DISTINCT src AS id FROM b UNION SELECT src FROM ({VISITS}) q UNION SELECT dst FROM ({VISITS}) z), t AS (SELECT x.src AS id, count(*) / 2 AS t FROM b x JOIN b y ON y.src = x.dst JOIN b z ON z.src = y.dst AND z.dst = x.src GROUP BY x.src), d AS (SELECT src AS id, count(*) AS k FROM b GROUP BY src) "
 dialect("triangle_count", "SELECT * FROM triangle_count('visits')", _UNDIRECTED + "SELECT n.id AS node_id, CAST(coalesce(t, 0) AS BIGINT) AS triangle_count FROM n LEFT JOIN t ON t.id = n.id")
 dialect("clustering_coefficient", "SELECT node_id, round(local_coefficient, 6) AS c, triangles, degree FROM clustering_coefficient('visits')", _UNDIRECTED + "SELECT n.id AS node_id, round(CASE WHEN coalesce(k, 0) > 1 THEN 2.0 * coalesce(t, 0) / (k * (k - 1)) ELSE 0 END, 6) AS c, CAST(coalesce(t, 0) AS BIGINT) AS triangles, coalesce(k, 0) AS degree FROM n LEFT JOIN t ON t.id = n.id LEFT JOIN d ON d.id = n.id")
-dialect("betweenness", "SELECT node_id, round(centrality, 6) AS centrality FROM betweenness('visits')", None)
-dialect("eigenvector", "SELECT node_id, round(score, 4) AS score FROM eigenvector('co_supplied')", None)
+_SIGMA = ", ".join(f"s{d} AS MATERIALIZED (SELECT p.o, e.dst AS node, sum(p.s) AS s FROM s{d - 1} p JOIN e ON e.src = p.node JOIN m ON m.o = p.o AND m.node = e.dst AND m.depth = {d} GROUP BY p.o, e.dst)" for d in range(1, 9))
+_SIGMA = ", s0 AS (SELECT o, node, CAST(1 AS DOUBLE) AS s FROM m WHERE depth = 0), " + _SIGMA + ", g AS MATERIALIZED (SELECT m.o, m.node, m.depth, s FROM m JOIN (" + " UNION ALL ".join(f"SELECT * FROM s{d}" for d in range(9)) + ") z ON z.o = m.o AND z.node = m.node)"
+dialect("betweenness", "SELECT node_id, round(centrality, 6) AS centrality FROM betweenness('visits')", _PAIRS + _SIGMA + f", every AS (SELECT src AS id FROM ({VISITS}) a UNION SELECT dst FROM ({VISITS}) b), c AS (SELECT x.node, sum(x.s * y.s / z.s) AS c FROM g x JOIN g y ON y.o = x.node AND y.depth > 0 JOIN g z ON z.o = x.o AND z.node = y.node AND z.depth = x.depth + y.depth WHERE x.depth > 0 GROUP BY x.node) SELECT id AS node_id, round(coalesce(c, 0) / greatest((SELECT (count(*) - 1.0) * (count(*) - 2) FROM every), 1), 6) AS centrality FROM every LEFT JOIN c ON c.node = id")
+_POWER = ", ".join(f"x{k} AS MATERIALIZED (SELECT id, s / sqrt(sum(s * s) OVER ()) AS s FROM (SELECT p.id, p.s + coalesce(q.s, 0) AS s FROM x{k - 1} p LEFT JOIN (SELECT b.dst AS id, sum(x.s) AS s FROM b JOIN x{k - 1} x ON x.id = b.src GROUP BY b.dst) q ON q.id = p.id) r)" for k in range(1, 25))
+dialect("eigenvector", "SELECT node_id, round(score, 3) AS score FROM eigenvector('co_supplied')", f"WITH e AS MATERIALIZED ({CO_SUPPLIED}), b AS MATERIALIZED (SELECT src, dst FROM e UNION SELECT dst, src FROM e), x0 AS (SELECT id, 1 / sqrt(count(*) OVER ()) AS s FROM (SELECT DISTINCT src AS id FROM b) n), {_POWER} SELECT id AS node_id, round(s / max(s) OVER (), 3) AS score FROM x24")
 dialect("community_detect", "SELECT * FROM community_detect('visits')", None)
 
+# ------------------------------------------------------------------ the dialect's own meaning
+
+dialect("typed_division", "SELECT o_orderkey, (o_orderkey + o_custkey) / 2 AS half, abs(-o_orderkey) / 3 AS third, o_custkey * 7 / 2 / 3 AS chain, o_totalprice / 2 AS price FROM orders WHERE o_custkey / 10 > 3", "SELECT o_orderkey, (o_orderkey + o_custkey) // 2 AS half, abs(-o_orderkey) // 3 AS third, o_custkey * 7 // 2 // 3 AS chain, o_totalprice / 2 AS price FROM orders WHERE o_custkey // 10 > 3")
+dialect("division_of_aggregates", "WITH t AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) SELECT c_nationkey, CAST(sum(n) / count(*) AS BIGINT) AS each FROM customer JOIN t ON c_custkey = o_custkey GROUP BY c_nationkey", "WITH t AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) SELECT c_nationkey, CAST(sum(n) // count(*) AS BIGINT) AS each FROM customer JOIN t ON c_custkey = o_custkey GROUP BY c_nationkey")
+dialect("json_quoted_keys", """SELECT event_id, ('{"a.b": {"c d": ' || event_id || '}}') -> 'a.b' ->> 'c d' AS v FROM events""", "SELECT event_id, CAST(event_id AS VARCHAR) AS v FROM events")
+dialect("json_functions", "SELECT p_partkey, json_array(p_size, p_brand, NULL) AS a, json_object('size', p_size, 'brand', p_brand) AS o, json_extract(json_object('k', json_array(p_size, 2)), '$.k') AS x FROM part", "SELECT p_partkey, '[' || p_size || ',\"' || p_brand || '\",null]' AS a, '{\"size\":' || p_size || ',\"brand\":\"' || p_brand || '\"}' AS o, '\"[' || p_size || ',2]\"' AS x FROM part")
+dialect("numeric_functions", "SELECT p_partkey, trunc(p_retailprice) AS t, trunc(-p_retailprice / 7) AS m, round(log(p_retailprice), 6) AS l FROM part", "SELECT p_partkey, trunc(p_retailprice) AS t, trunc(-p_retailprice / 7) AS m, round(log10(p_retailprice), 6) AS l FROM part")
+dialect("format_functions", "SELECT o_orderkey, to_char(o_orderdate, 'YYYY-MM-DD HH24:MI:SS') AS d, to_char(o_orderkey, 'FM0000000') AS k, to_date(to_char(o_orderdate, 'DD/MM/YYYY'), 'DD/MM/YYYY') AS day, to_number(to_char(o_orderkey, 'FM0000000'), '0000000') AS n FROM orders", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS d, lpad(CAST(o_orderkey AS VARCHAR), 7, '0') AS k, CAST(o_orderdate AS DATE) AS day, CAST(o_orderkey AS DOUBLE) AS n FROM orders")
+dialect("age_months", "SELECT o_orderkey, age(o_orderdate, TIMESTAMP_NTZ '1990-01-01').months AS months, age(o_orderdate, TIMESTAMP_NTZ '1990-01-01').micros AS micros FROM orders", "SELECT o_orderkey, datesub('month', TIMESTAMP '1990-01-01', o_orderdate) AS months, epoch_us(o_orderdate) - epoch_us(TIMESTAMP '1990-01-01' + to_months(CAST(datesub('month', TIMESTAMP '1990-01-01', o_orderdate) AS INTEGER))) AS micros FROM orders")
+dialect("typed_casts", "SELECT p_partkey, round(('(' || p_size || ', 2)')::POINT <-> '(0,0)'::POINT, 6) AS d, CAST(p_size || ' days 02:00:00' AS INTERVAL).micros AS micros, p_size::TEXT AS t FROM part", "SELECT p_partkey, round(sqrt(p_size * p_size + 4.0), 6) AS d, p_size * 86400000000 + 7200000000 AS micros, CAST(p_size AS VARCHAR) AS t FROM part")
+
+
+@query("time_arithmetic", "SELECT o_orderkey, (o_orderkey * 7000000 + 82800000000) % 86400000000 AS t FROM orders")
+def _times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    late = scalars.shift_time(F.lit(82_800_000_000).cast("long"), scalars.interval(0, F.col("o_orderkey") * 7_000_000))
+    return table(spark, sf_dir, "orders").select("o_orderkey", late.alias("t"))
+
+
+@query("insert_select_autoincrement", "SELECT CAST(row_number() OVER (ORDER BY n_nationkey) AS BIGINT) AS id, n_name AS name FROM nation UNION ALL SELECT (SELECT count(*) FROM nation) + 1, 'more'")
+def _insert_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir)
+    e.sql("CREATE TABLE names (id BIGINT PRIMARY KEY AUTOINCREMENT, name TEXT NOT NULL)")
+    e.sql("INSERT INTO names (name) SELECT n_name FROM nation ORDER BY n_nationkey")
+    e.sql("INSERT INTO names (name) VALUES ('more')")
+    return e.sql("SELECT id, name FROM names")
+
+
+@query("returning_rows", "SELECT n_nationkey, n_name || '?' AS n_name FROM nation WHERE n_regionkey = 3")
+def _returning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine(spark, sf_dir).sql("UPDATE nation SET n_name = n_name || '?' WHERE n_regionkey = 3 RETURNING n_nationkey, n_name")
+
+
+@query("alter_table", "SELECT r_regionkey, r_name AS title, 5 AS score FROM region")
+def _altered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir)
+    for change in ("ADD COLUMN score INT DEFAULT 5", "RENAME COLUMN r_name TO title", "ADD COLUMN gone TEXT", "DROP COLUMN gone"):
+        e.sql(f"ALTER TABLE region {change}")
+    return e.sql("SELECT * FROM region")
+
+
+@query("table_constraints", "SELECT 2 AS n, TRUE AS refused")
+def _constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir)
+    e.sql("CREATE TABLE pairs (id INT, a INT, b INT, CONSTRAINT p PRIMARY KEY (id), UNIQUE (a, b))")
+    e.sql("INSERT INTO pairs VALUES (1, 1, 1), (2, 1, 2)")
+    refused = False
+    try:
+        e.sql("INSERT INTO pairs VALUES (3, 1, 2)")
+    except CatalogError:
+        refused = True
+    return e.sql("SELECT CAST(count(*) AS INT) AS n, $1 AS refused FROM pairs", refused)
+
+
+@query("two_databases", "SELECT 'other' AS base, 1 AS n UNION ALL SELECT 'demo', CAST(count(*) AS INTEGER) FROM region")
+def _databases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir)
+    e.sql("CREATE DATABASE other")
+    e.sql("USE other")
+    e.sql("CREATE TABLE region (id INT PRIMARY KEY)")
+    e.sql("INSERT INTO region VALUES (7)")
+    e.sql("USE demo")
+    return e.sql("SELECT 'other' AS base, CAST(count(*) AS INT) AS n FROM other.region UNION ALL SELECT 'demo', CAST(count(*) AS INT) FROM region")
+
+
+@query("rolled_back", "SELECT r_regionkey, r_name FROM region UNION ALL SELECT 9, 'new'")
+def _rolled_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir)
+    e.sql("BEGIN")
+    e.sql("ALTER TABLE region ADD COLUMN more INT")
+    e.sql("CREATE TABLE extra (id INT PRIMARY KEY)")
+    e.sql("DELETE FROM region")
+    e.sql("ROLLBACK")
+    e.sql("INSERT INTO region VALUES (9, 'new')")
+    return e.sql("SELECT * FROM region")
+
+
+@query("traverse_trace", _BFS.format(start=_START, most=2) + "SELECT node, CAST(depth + 1 AS INTEGER) AS on_path FROM m WHERE depth > 0")
+def _traced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = engine(spark, sf_dir).sql("TRAVERSE visits FROM users($1) MAX_DEPTH 2 WITH TRACE", _first_user(spark, sf_dir))
+    return found.select("node", F.size("__path.nodes").alias("on_path"))
+
+
+dialect("match_all_shortest", "MATCH p = ALL SHORTEST (a:users)-[r:visits]->{1,2}(b:users) RETURN a.user_id AS a, b.user_id AS b, path_length(p) AS n", f"WITH v AS ({VISITS}), q AS (SELECT src AS a, dst AS b, 1 AS n FROM v WHERE src <> dst UNION ALL SELECT x.src, y.dst, 2 FROM v x JOIN v y ON x.dst = y.src WHERE x.src <> x.dst AND y.src <> y.dst AND x.src <> y.dst) SELECT a, b, CAST(n AS BIGINT) AS n FROM (SELECT a, b, n, rank() OVER (PARTITION BY a, b ORDER BY n) AS k FROM q) t WHERE k = 1")
+dialect("closeness_wasserman_faust", "SELECT node_id, round(closeness, 6) AS closeness FROM closeness('visits', variant := 'wasserman_faust')", _PAIRS + f", every AS (SELECT src AS id FROM ({VISITS}) a UNION SELECT dst FROM ({VISITS}) b) SELECT o AS node_id, round(CASE WHEN sum(depth) > 0 THEN (count(*) - 1.0) / ((SELECT count(*) FROM every) - 1) * (count(*) - 1.0) / sum(depth) ELSE 0 END, 6) AS closeness FROM m GROUP BY o")
+
 # ------------------------------------------------------------------ vectors and text
 
 _QUERY = [((i * 37) % 11 - 5) / 5.0 for i in range(64)]

@@ -96,15 +96,18 @@ def analyze(text: str | None, stemming: bool = True, stop_words: bool = True) ->
     return out
 
 
-def terms(text: Column, stemming: bool = True, stop_words: bool = True) -> Column:
-    """The terms of a text column: built-in functions without stemming, Arrow batches with it."""
-    if not stemming:
-        lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-        found = F.regexp_extract_all(lower, F.lit(r"[a-z0-9\x{80}-\x{10FFFF}]+"), F.lit(0))
-        return F.filter(found, lambda t: ~t.isin(*sorted(STOP_WORDS))) if stop_words else found
-
-    @F.pandas_udf("array<string>")
-    def run(texts):
-        return texts.map(lambda t: analyze(t, True, stop_words))
-
-    return run(text)
+def terms(text: Column, stop_words: bool = True) -> Column:
+    """The tokens of a text column without stop words, by built-in functions; see :func:`stems`."""
+    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    found = F.regexp_extract_all(lower, F.lit(r"[a-z0-9\x{80}-\x{10FFFF}]+"), F.lit(0))
+    return F.filter(found, lambda t: ~t.isin(*sorted(STOP_WORDS))) if stop_words else found
+
+
+def stems(token: Column) -> Column:
+    """The stem of each token, in Arrow batches; meant for distinct tokens."""
+
+    @F.pandas_udf("string")
+    def run(tokens):
+        return tokens.map(stem)
+
+    return run(token)

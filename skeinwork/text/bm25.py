@@ -1,4 +1,7 @@
-"""BM25 ranking: postings and document lengths are derived tables, a search is a join with its terms."""
+"""BM25 ranking: postings and document lengths are derived tables, a search is a join with its terms.
+
+Texts are cut into tokens by built-in functions and counted; only distinct tokens are stemmed in Python.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .analyzer import analyze, terms
+from ..sources.staging import staged
+from .analyzer import STOP_WORDS, analyze, stems, terms
 
 K1, B = 1.2, 0.75
 
@@ -33,13 +37,29 @@ class BM25Index:
         return hits.join(F.broadcast(df), "term").groupBy("doc").agg(F.sum(score).cast("float").alias("_score"))  # a row a query term
 
 
-def index(table: DataFrame, pk: str, column: str, stemming: bool = True, stop_words: bool = True) -> BM25Index:
-    """Index every non-NULL text of ``column``; texts without terms count as documents too."""
-    docs = table.where(F.col(column).isNotNull()).select(F.col(pk).alias("doc"), terms(F.col(column), stemming, stop_words).alias("terms"))
-    docs = docs.withColumn("dl", F.size("terms"))
-    totals = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("average")).first()
-    postings = docs.select("doc", "dl", F.explode("terms").alias("term")).groupBy("doc", "term", "dl").agg(F.count("*").alias("tf"))
-    return BM25Index(postings, totals["n"], totals["average"] or 0.0, stemming, stop_words)
+def index(table: DataFrame, pk: str, column: str, stemming: bool = True, stop_words: bool = True, keep: bool = False) -> BM25Index:
+    """Index every non-NULL text of ``column``; texts without terms count as documents too.
+
+    With ``keep`` the postings are written, dealt and sorted by term, for more than one search.
+    """
+    docs = table.where(F.col(column).isNotNull()).select(F.col(pk).alias("doc"), terms(F.col(column), stop_words).alias("terms"))
+    if stemming:
+        counted = docs.select("doc", F.explode("terms").alias("token")).groupBy("doc", "token").agg(F.count("*").alias("tf"))
+        known = counted.select("token").distinct().select("token", stems(F.col("token")).alias("term"))
+        known = known.where(~F.col("term").isin(*sorted(STOP_WORDS))) if stop_words else known
+        postings = counted.join(known, "token").groupBy("doc", "term").agg(F.sum("tf").alias("tf"))
+        lengths = postings.groupBy("doc").agg(F.sum("tf").cast("int").alias("dl"))
+        postings = postings.join(lengths, "doc").select("doc", "term", "dl", "tf")
+        n, total = docs.count(), None
+    else:
+        sized = docs.withColumn("dl", F.size("terms"))
+        postings = sized.select("doc", "dl", F.explode("terms").alias("term")).groupBy("doc", "term", "dl").agg(F.count("*").alias("tf"))
+        totals = sized.agg(F.count("*").alias("n"), F.sum("dl").alias("total")).first()
+        n, total = totals["n"], totals["total"]
+    postings = staged(postings, "postings", by="term") if keep else postings
+    if total is None:
+        total = postings.agg(F.sum("tf").alias("total")).first()["total"]
+    return BM25Index(postings, n, (total or 0) / n if n else 0.0, stemming, stop_words)
 
 
 def match(table: DataFrame, pk: str, column: str, query: str, where: str | None = None, stemming: bool = True, stop_words: bool = True, indexed: BM25Index | None = None) -> DataFrame:

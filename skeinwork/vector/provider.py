@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -44,13 +45,33 @@ def register_provider(name: str, function: Callable[[Sequence[str], int], list])
     PROVIDERS[name] = function
 
 
-def embed(text: Column, dim: int, provider: str = "builtin") -> Column:
-    """Embeddings of a text column in Arrow batches."""
+def embed(text: Column, dim: int, provider: str = "builtin", batch: int | None = None, rate: float | None = None, retries: int = 3) -> Column:
+    """Embeddings of a text column in Arrow batches.
+
+    ``batch`` bounds the texts of one call of the provider, ``rate`` its calls a second in each task. A call that
+    fails is tried again up to ``retries`` times, after waits that double from a tenth of a second.
+    """
     function = PROVIDERS[provider]
 
+    def call(texts: list[str]) -> list:
+        for k in range(retries + 1):
+            try:
+                return function(texts, dim)
+            except (OSError, TimeoutError):
+                if k == retries:
+                    raise
+                time.sleep(0.1 * 2**k)
+        return []
+
     @F.pandas_udf("array<float>")
     def run(texts):
-        return type(texts)(function(texts.tolist(), dim))
+        every, out, size = texts.tolist(), [], batch or max(len(texts), 1)
+        for at in range(0, len(every), size):
+            began = time.monotonic()
+            out += call(every[at : at + size])
+            if rate and at + size < len(every):
+                time.sleep(max(0.0, 1 / rate - (time.monotonic() - began)))
+        return type(texts)(out)
 
     return run(text)
 
@@ -60,11 +81,11 @@ def source_text(*columns: str) -> Column:
     return F.concat_ws(" ", *[F.nullif(F.col(c), F.lit("")) for c in columns])
 
 
-def reembed(df: DataFrame, column: str, dim: int, sources: Sequence[str], provider: str = "builtin") -> DataFrame:
+def reembed(df: DataFrame, column: str, dim: int, sources: Sequence[str], provider: str = "builtin", **calls: float | None) -> DataFrame:
     """Every embedding made anew."""
-    return df.withColumn(column, embed(source_text(*sources), dim, provider))
+    return df.withColumn(column, embed(source_text(*sources), dim, provider, **calls))
 
 
-def backfill(df: DataFrame, column: str, dim: int, sources: Sequence[str], provider: str = "builtin") -> DataFrame:
+def backfill(df: DataFrame, column: str, dim: int, sources: Sequence[str], provider: str = "builtin", **calls: float | None) -> DataFrame:
     """Missing embeddings filled; the others stay."""
-    return df.withColumn(column, F.coalesce(F.col(column), embed(F.when(F.col(column).isNull(), source_text(*sources)), dim, provider)))
+    return df.withColumn(column, F.coalesce(F.col(column), embed(F.when(F.col(column).isNull(), source_text(*sources)), dim, provider, **calls)))
