@@ -20,7 +20,7 @@ def test_stages(spark, tmp_path):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     scores = quality.quality_scores(spark.read.parquet(f"{DATA}/documents.parquet"), labels).where(F.col("_score") >= pipeline.LEAST_QUALITY)
     assert {r.doc_id for r in kept[0].collect()} == {r.doc_id for r in scores.collect()}
-    heads = near_dedup.near_duplicates(kept[0]).where("kept").select("doc_id")
+    heads = near_dedup.near_duplicates(kept[0], percent=80).where("kept").select("doc_id")
     assert {r.doc_id for r in kept[1].collect()} == {r.doc_id for r in heads.collect()}
     assert kept[2].count() == kept[1].count() and kept[2].where("n_chars <> length(text)").count() == 0
     assert secrets.secrets(kept[3]).agg(F.sum(F.col("n_assign") + F.col("n_access") + F.col("n_hex"))).first()[0] == 0
