@@ -12,7 +12,7 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
@@ -86,6 +86,34 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+FILTER_WORDS = 1 << 18
+
+
+def _place(hashed: str) -> tuple[Column, Column]:
+    """The word of the filter that a key's hash belongs to, and its three bits there."""
+    bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(hashed, k).bitwiseAND(63).cast("int")) for k in (40, 46, 52)]
+    return F.col(hashed).bitwiseAND(FILTER_WORDS - 1), bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2])
+
+
+def with_hint(rows: DataFrame, key: list[Column], keys: DataFrame, hint: str) -> DataFrame:
+    """``rows`` with a boolean ``hint`` that is false only where no row of ``keys`` equals ``key``, types included.
+
+    A Bloom filter of at most ``FILTER_WORDS`` words of 64 bits is broadcast, however many keys there are; the more
+    there are, the more rows without one it lets through, so a join has to follow.
+    """
+    hashed, word, held = (fresh(rows, name) for name in ("_hashed", "_word", "_held"))
+    own, marks = _place(hashed)
+    table = keys.select(F.xxhash64(*keys.columns).alias(hashed)).select(own.alias(word), marks.alias(held)).groupBy(word).agg(F.bit_or(held).alias(held))
+    joined = rows.withColumn(hashed, F.xxhash64(*key)).join(F.broadcast(table), own == F.col(word), "left")
+    return joined.withColumn(hint, F.coalesce(F.col(held).bitwiseAND(marks) == marks, F.lit(False))).drop(hashed, word, held)
+
+
+def sift(rows: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` without most of those whose key ``on`` isn't in ``table``, so that a join moves fewer of them."""
+    hint = fresh(rows, "_hint")
+    return with_hint(rows, [F.col(c) for c in on], table.select(*on), hint).where(hint).drop(hint)
+
+
 HOT_KEYS = 4096
 
 

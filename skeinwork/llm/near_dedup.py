@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ._components import components
 from ._kernels import band_hashes, circulant_signatures, circulant_table, set_digests, shingle_sets, string_slices
-from ._store import documents, drop, store
+from ._store import documents, drop, reclaim, store
 
 BANDS, ROWS = 32, 6
 TABLE_BITS = 20
@@ -196,6 +196,7 @@ def link_classes(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
     centres = crowded.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("centre"))
     stars = crowded.join(centres, "key").where("id <> centre").select(F.least("id", "centre").alias("u"), F.greatest("id", "centre").alias("v")).distinct()
     texts = store(texts_of(crowded.select("id").distinct()), "texts")
+    reclaim(texts.sparkSession)
     links = store(verify_stars(stars, texts, percent), "stars")
     known = links if more_links is None else links.union(more_links)
     labels = components(known)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._kernels import U, distinct_sets, mix, set_digests, shingles, span_hashes, string_slices, window_hashes, words
-from ._store import documents, drop, drop_part, fresh, join_hot, reclaim, store
+from ._store import documents, drop, drop_part, fresh, join_hot, reclaim, sift, store, with_hint
 from .near_dedup import band_keys, link_classes, source
 
 WORDS = 51
@@ -217,7 +217,7 @@ def repeated_windows(docs: DataFrame, marked: DataFrame) -> DataFrame:
     chosen = store(join_hot(found, keys, ["key"], "times", found.count()).groupBy("id", "version").agg(F.array_sort(F.collect_set("word")).alias("words")), "chosen")
     drop_part(marked, "anchor=true")
     drop(keys)
-    hashed = store(windows(docs.join(chosen, ["id", "version"])), "windows")
+    hashed = store(windows(sift(docs, chosen, ["id", "version"]).join(chosen, ["id", "version"])), "windows")
     drop(chosen)
     shared = hashed.groupBy("hash").agg(F.min("id").alias("first_id"), F.max("id").alias("b"), F.count("*").alias("times")).where("first_id < b").select("hash", "first_id", "times")
     shared = store(shared, "shared")
@@ -264,11 +264,13 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
 
 def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """``df`` without the repeated passages' words that :func:`repeats` removes; all rows and columns stay."""
-    key, version, starts, stops = (fresh(df, f"_{name}") for name in ("span_id", "version", "starts", "stops"))
+    key, version, starts, stops, hint = (fresh(df, f"_{name}") for name in ("span_id", "version", "starts", "stops", "hint"))
     spans = _repeats(df, id_col, text_col, least_words).where("id <> first_id").groupBy("id", "version").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    spans = spans.select(F.col("id").alias(key), F.col("version").alias(version), F.transform("spans", lambda s: s["start"]).alias(starts), F.transform("spans", lambda s: s["stop"]).alias(stops))
+    spans = store(spans.select(F.col("id").alias(key), F.col("version").alias(version), F.transform("spans", lambda s: s["start"]).alias(starts), F.transform("spans", lambda s: s["stop"]).alias(stops)), "spans")
     text = F.col(text_col).cast("string")
-    joined = df.join(spans, (F.col(id_col).cast("long") == F.col(key)) & (F.xxhash64(text) == F.col(version)), "left")
+    own_id, own_version = F.col(id_col).cast("long"), F.xxhash64(text)
+    hinted = with_hint(df, [own_id, own_version], spans.select(key, version), hint)  # texts without a span stay where they are
+    joined = hinted.where(hint).join(spans, (own_id == F.col(key)) & (own_version == F.col(version)), "left")
 
     @F.pandas_udf("string")
     def cut(text, starts, stops):
@@ -290,7 +292,10 @@ def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_
         return type(text)(out)
 
     edited = F.when(F.col(starts).isNull(), F.col(text_col)).otherwise(cut(text, F.col(starts), F.col(stops)))
-    return joined.withColumn(text_col, edited).select(*[F.col(f"`{c}`") for c in df.columns])
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    changed = joined.withColumn(text_col, edited).select(*columns)
+    rest = hinted.where(~F.col(hint)).withColumn(text_col, F.col(text_col).cast(changed.schema[text_col].dataType))
+    return changed.union(rest.select(*columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

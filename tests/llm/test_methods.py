@@ -1,5 +1,6 @@
 """The named methods by themselves, and odd tables through every operator and stage."""
 
+import hashlib
 import math
 import re
 import zlib
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from test_operators import components_of, pairs, shingle_sets
 
 import corpus_pipeline as pipeline
-from skeinwork.llm import fingerprints, near_dedup, packing, piece_bpe, quality, secrets, substring_dedup, token_counts, toxicity, vector_dedup
+from skeinwork.llm import _store, fingerprints, near_dedup, packing, piece_bpe, quality, secrets, substring_dedup, token_counts, toxicity, vector_dedup
 from skeinwork.llm.word_bpe import WordBpe, tokenizer_path
 
 INTERNAL = "_base _spans _assign _access _hex _like _every _before _runs _blocks _score _Version _starts _stops _span_id id key keys row part cell class version set_a set_b text_u next_text range led".split()
@@ -275,6 +276,46 @@ def test_what_remove_leaves(spark):
     assert got == sorted([(1, rows[0][1]), (2, f"starttwo\n\nendtwo\n{short}"), (3, f"{own[0]}  {own[1]}"), (4, short), (2, "another text of the id")])
 
 
+def test_texts_without_a_repeat_are_not_shuffled(spark, monkeypatch):
+    """With joins that are too large to broadcast, as on large tables, texts without a repeat move once, to be compared; before, three times."""
+    words = [hashlib.md5(str(k).encode()).hexdigest()[:9] for k in range(300 * 800)]
+    texts = [" ".join(words[k : k + 800]) for k in range(0, len(words), 800)]
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(k, f"{t}\n{passage}" if k in (7, 200) else t) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    df.write.parquet(path := f"{spark.conf.get('spark.checkpoint.dir')}/unlike")
+    monkeypatch.setattr(substring_dedup, "reclaim", lambda spark: None)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+
+    def shuffled():
+        context = spark.sparkContext._jsc.sc()
+        context.listenerBus().waitUntilEmpty(30_000)
+        return context.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    try:
+        before = shuffled()
+        got = dict(substring_dedup.remove(spark.read.parquet(path)).collect())
+        moved = shuffled() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert got == dict(rows) | {200: texts[200] + "\n"}
+    size = sum(map(len, texts))
+    print(f"{moved} bytes shuffled for {size} of text")
+    assert moved < 2 * size
+
+
+@pytest.mark.parametrize("words", [1, 64, 1 << 18])
+def test_a_sifted_join_loses_no_row(spark, monkeypatch, words):
+    monkeypatch.setattr(_store, "FILTER_WORDS", words)
+    rows = spark.range(100_000).selectExpr("if(id % 9 = 0, null, id) AS id", "cast(id % 7 AS int) AS part", "id AS _WORD")
+    table = spark.range(0, 100_000, 50).selectExpr("id", "cast(id % 7 AS int) AS part")
+    sifted = _store.sift(rows, table, ["id", "part"])
+    assert sifted.columns == rows.columns and sifted.join(table, ["id", "part"]).count() == rows.join(table, ["id", "part"]).count() > 1000
+    assert words < 1 << 18 or sifted.count() < 2000
+    assert _store.sift(rows, table.limit(0), ["id", "part"]).count() == 0
+
+
 def test_repeated_ids_keep_all_their_links(spark):
     a, b = (" ".join(f"{c}{i}" for i in range(100)) for c in "ab")
     df = spark.createDataFrame([(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, "c d e"), (5, a)], "doc_id long, text string")
