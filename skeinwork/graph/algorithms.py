@@ -18,6 +18,7 @@ from .edges import nodes, undirected
 from .traverse import reach
 
 LOUVAIN_EDGES = 40_000_000
+TRIANGLE_EDGES = 8_000_000  # arcs that a task looks for triangles in
 LOUVAIN_SLICE = 4_000_000  # edges that the driver receives at once
 ORIGINS = 4096  # start nodes whose distances are held at once
 
@@ -217,25 +218,57 @@ def eigenvector(edges: DataFrame, iterations: int = 100, tolerance: float = 1e-6
     return now.select("node_id", (score / (top if top else 1.0)).alias("score"), F.col("used").alias("iterations_used"))
 
 
-def _triangles(edges: DataFrame) -> DataFrame:
-    """(node_id, n): triangles at each node, each found once by its ends in order of degree."""
-    hops = staged(undirected(edges), "hops")
+def _closed(task: pa.Table) -> pa.Table:
+    """(node_id, n) of one task's triangles a < b < c: arcs of part 0 are ab, of part 1 ac, of part 2 bc."""
+    part, src, dst = (task[c].to_numpy() for c in ("part", "src", "dst"))
+    ids = np.unique(np.concatenate([np.unique(src), np.unique(dst)]))
+    src, dst = np.searchsorted(ids, src), np.searchsorted(ids, dst)
+    (a, b), (a2, c2), (b3, c3) = ((src[part == k], dst[part == k]) for k in range(3))
+    n, total = np.int64(len(ids)), np.zeros(len(ids), np.int64)
+    third = np.sort(a2 * n + c2)
+    c3 = c3[np.argsort(b3, kind="stable")]
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(b3, minlength=len(ids)))])
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    degree = offsets[b + 1] - offsets[b]
+    for at in allpairs._slices(degree, allpairs.EDGES_AT_ONCE) if len(third) else ():
+        c = c3[allpairs._ranges(offsets[b[at]], degree[at])]
+        x, y = np.repeat(a[at], degree[at]), np.repeat(b[at], degree[at])
+        key = x * n + c
+        hit = third[np.minimum(np.searchsorted(third, key), len(third) - 1)] == key
+        for v in (x, y, c):
+            total += np.bincount(v[hit], minlength=len(ids))
+    some = np.flatnonzero(total)
+    return pa.table({"node_id": pa.array(ids[some].astype(np.int64)), "n": pa.array(total[some])})
+
+
+def _triangles(hops: DataFrame) -> DataFrame:
+    """(node_id, n): triangles at each node of staged undirected edges, each found once by its ends in order of degree.
+
+    Nodes have one of p colours; a task has the arcs between three colours, about ``TRIANGLE_EDGES`` of them, and
+    wedges never leave it. An arc goes to 3 p tasks, p growing with the root of the edges.
+    """
     degree = hops.groupBy("src").agg(F.count("*").alias("k"))
-    rank = hops.join(degree, "src").join(degree.withColumnsRenamed({"src": "dst", "k": "m"}), "dst").where("m > k or m = k and dst > src").select("src", "dst")
-    rank = staged(rank, "ranked")
-    wedge = rank.alias("x").join(rank.alias("y"), F.col("x.src") == F.col("y.src")).where("x.dst < y.dst").select(F.col("x.src").alias("a"), F.col("x.dst").alias("b"), F.col("y.dst").alias("c"))
-    closed = wedge.join(hops.select(F.col("src").alias("b"), F.col("dst").alias("c")), ["b", "c"])
-    return closed.select(F.explode(F.array("a", "b", "c")).alias("node_id")).groupBy("node_id").agg(F.count("*").alias("n"))
+    arcs = hops.join(degree, "src").join(degree.withColumnsRenamed({"src": "dst", "k": "m"}), "dst").where("m > k or m = k and dst > src").select("src", "dst")
+    p = max(2, int(np.ceil((1.5 * hops.count() / TRIANGLE_EDGES) ** 0.5)))
+    x, y = (F.pmod(F.xxhash64(c), F.lit(p)).cast("int") for c in ("src", "dst"))
+    places = lambda k: F.array(*[F.struct(F.lit(i).alias("part"), ((u * p + v) * p + w).cast("int").alias("task")) for i, (u, v, w) in enumerate(((x, y, k), (x, k, y), (k, x, y)))])
+    dealt = arcs.select("src", "dst", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(p - 1)), places))).alias("to")).select("src", "dst", "to.part", "to.task")
+    return dealt.groupBy("task").applyInArrow(_closed, "node_id long, n long").groupBy("node_id").agg(F.sum("n").alias("n"))
 
 
 def triangle_count(edges: DataFrame) -> DataFrame:
-    return nodes(edges).join(_triangles(edges), "node_id", "left").select("node_id", F.coalesce("n", F.lit(0)).cast("long").alias("triangle_count"))
+    edges = _simple(edges)
+    hops = staged(undirected(edges), "hops")
+    return nodes(edges).join(_triangles(hops), "node_id", "left").select("node_id", F.coalesce("n", F.lit(0)).cast("long").alias("triangle_count"))
 
 
 def clustering_coefficient(edges: DataFrame) -> DataFrame:
     """local_coefficient 2T / (k (k - 1)), 0 below two neighbours; triangles and degree."""
-    degree = undirected(edges).groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("k"))
-    out = nodes(edges).join(degree, "node_id", "left").join(_triangles(edges), "node_id", "left").withColumns({"k": F.coalesce("k", F.lit(0)).cast("long"), "n": F.coalesce("n", F.lit(0)).cast("long")})
+    edges = _simple(edges)
+    hops = staged(undirected(edges), "hops")
+    degree = hops.groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("k"))
+    out = nodes(edges).join(degree, "node_id", "left").join(_triangles(hops), "node_id", "left").withColumns({"k": F.coalesce("k", F.lit(0)).cast("long"), "n": F.coalesce("n", F.lit(0)).cast("long")})
     return out.select("node_id", F.when(F.col("k") > 1, 2.0 * F.col("n") / (F.col("k") * (F.col("k") - 1))).otherwise(0.0).alias("local_coefficient"), F.col("n").alias("triangles"), F.col("k").alias("degree"))
 
 
