@@ -18,6 +18,7 @@ from .edges import nodes, undirected
 from .traverse import reach
 
 LOUVAIN_EDGES = 40_000_000
+HELD_NODES = 1_000_000  # rows of at most so many nodes are broadcast to the edges
 TRIANGLE_EDGES = 8_000_000  # arcs that a task looks for triangles in
 LOUVAIN_SLICE = 4_000_000  # edges that the driver receives at once
 ORIGINS = 4096  # start nodes whose distances are held at once
@@ -47,8 +48,9 @@ def _least_labels(labels: DataFrame, hops: DataFrame) -> DataFrame:
     grow with the logarithm of the longest way. ``labels`` has every node.
     """
     labels = staged(labels, "labels")
+    near = F.broadcast if labels.count() <= HELD_NODES else lambda df: df  # the edges stay where they are
     while True:
-        got = hops.join(labels.withColumnRenamed("node_id", "src"), "src").groupBy(F.col("dst").alias("node_id")).agg(F.min("label").alias("got"))
+        got = hops.join(near(labels.withColumnRenamed("node_id", "src")), "src").groupBy(F.col("dst").alias("node_id")).agg(F.min("label").alias("got"))
         step = labels.join(got, "node_id", "left").select("node_id", F.col("label").alias("old"), F.least("label", F.coalesce("got", "label")).alias("step"))
         beyond = labels.select(F.col("node_id").alias("step"), F.col("label").alias("jump"))
         new = staged(step.join(beyond, "step", "left").select("node_id", "old", F.least("step", F.coalesce("jump", "step")).alias("label")), "labels")
@@ -61,6 +63,7 @@ def _least_labels(labels: DataFrame, hops: DataFrame) -> DataFrame:
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """component_id: the least node of the weak component."""
+    edges = _simple(edges)
     hops = staged(undirected(edges), "hops")
     return _least_labels(nodes(edges).withColumn("label", F.col("node_id")), hops).withColumnRenamed("label", "component_id")
 
@@ -196,14 +199,16 @@ def degree_centrality(edges: DataFrame, direction: str = "all") -> DataFrame:
 
 def eigenvector(edges: DataFrame, iterations: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """score and iterations_used: power iteration on A + I in each weak component, all components at once."""
+    edges = _simple(edges)
     hops = staged(undirected(edges), "hops")
-    weak = staged(connected_components(edges), "weak")
+    weak = staged(_least_labels(nodes(edges).withColumn("label", F.col("node_id")), hops).withColumnRenamed("label", "component_id"), "weak")
     n = weak.count()
+    near = F.broadcast if n <= HELD_NODES else lambda df: df
     size = staged(weak.groupBy("component_id").agg(F.count("*").alias("size")), "size")
     now = staged(join_hot(weak, size, "component_id", "size", n).select("node_id", "component_id", "size", (1 / F.sqrt(F.col("size").cast("double"))).alias("score"), F.lit(0).alias("used"), (F.col("size") == 1).alias("settled")), "eigen")
     for _ in range(iterations):
         open_rows = now.where("not settled")
-        got = hops.join(open_rows.select(F.col("node_id").alias("src"), "score"), "src").groupBy(F.col("dst").alias("node_id")).agg(F.sum("score").alias("got"))
+        got = hops.join(near(open_rows.select(F.col("node_id").alias("src"), "score")), "src").groupBy(F.col("dst").alias("node_id")).agg(F.sum("score").alias("got"))
         raw = staged(open_rows.join(got, "node_id", "left").withColumn("raw", F.col("score") + F.coalesce("got", F.lit(0.0))), "raw")
         norms = raw.groupBy("component_id", "size").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
         new = staged(join_hot(raw, norms.withColumnRenamed("size", "times"), "component_id", "times", n).drop("times").withColumn("new", F.col("raw") / F.col("norm")), "new")
